@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioworks.llm.eval_leakage import clean_documents, leaked_passages
 from folioworks.llm.term_frequency import canonical_terms, mark_terms, term_counts
 from folioworks.operators.packed_fields import with_packed_values
 from folioworks.session import table
@@ -28,6 +29,21 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1_counts(spark, sf_dir).select("field_name", "term", "n_occurrences", "n_records", "mark")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_matches(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with its length and place."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain once every leaking row is removed."""
+    docs = table(spark, sf_dir, "documents")
+    return clean_documents(docs.select("doc_id", "source", "n_chars"), p7_matches(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
