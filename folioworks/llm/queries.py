@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioworks.llm.container_packing import container_fill, pack_documents, tokenizer_path
 from folioworks.llm.eval_leakage import clean_documents, leaked_passages
 from folioworks.llm.language_segments import labelled_sample, language_segments, train_profiles
 from folioworks.llm.term_frequency import canonical_terms, mark_terms, term_counts
@@ -30,6 +31,16 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1_counts(spark, sf_dir).select("field_name", "term", "n_occurrences", "n_records", "mark")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document went into which container, sized in tokens of byte_bpe_50k."""
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), tokenizer_path())
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return container_fill(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_matches(spark, sf_dir).select("item_id", "doc_id").distinct()
 
