@@ -67,3 +67,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with the reading the Viterbi pass chose, also where the value alone leaves several."""
     return _chosen(spark, sf_dir).select("src_table", "row_key", "utc_micros", "n_instants", "style")
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p2_found, p2_activity_tags, p3_found, p4_found, p4_resolved)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
