@@ -89,15 +89,18 @@ def word_grams(word: str) -> list[str]:
 class Profiles:
     """Rank tables of all languages over the union of their n-grams."""
 
-    def __init__(self, counts: dict[str, Counter]):
+    def __init__(self, counts: dict[str, Counter], tables: tuple[dict[str, int], np.ndarray] | None = None):
+        self.worst = PROFILE_GRAMS
+        self._words: dict[str, np.ndarray] = {}
+        if tables:
+            self.ids, self.ranks = tables
+            return
         ranked = {lang: [g for g, _ in sorted(counts.get(lang, Counter()).items(), key=lambda x: (-x[1], x[0]))[:PROFILE_GRAMS]] for lang in LANGUAGES}
         self.ids = {g: i for i, g in enumerate(dict.fromkeys(g for r in ranked.values() for g in r))}
-        self.worst = PROFILE_GRAMS
         self.ranks = np.full((len(self.ids) + 1, len(LANGUAGES)), -10 * PROFILE_GRAMS, dtype=np.int32)
         for k, lang in enumerate(LANGUAGES):
             for r, g in enumerate(ranked[lang]):
                 self.ranks[self.ids[g], k] = r
-        self._words: dict[str, np.ndarray] = {}
 
     def grams(self, word: str) -> np.ndarray:
         got = self._words.get(word)
@@ -228,15 +231,16 @@ def labelled_sample(documents: DataFrame, expected: int = SAMPLE_DOCUMENTS) -> l
 def language_segments(documents: DataFrame, profiles: Profiles, switch: float = SWITCH_COST, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per segment: doc_id, label_lang (what documents.lang names, or null), seg_no, seg_lang, confidence, seg_words,
     n_segments, and main_lang, the language most words are in."""
-    shared = documents.sparkSession.sparkContext.broadcast(profiles)
+    shared = documents.sparkSession.sparkContext.broadcast((profiles.ids, profiles.ranks))
     names = ["doc_id", "label_lang", "seg_no", "seg_lang", "confidence", "seg_words", "n_segments", "main_lang"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles({}, shared.value)
         for b in batches:
             for part in _bounded(b, 1_500_000):
                 ids, labels, texts = (part.column(i).to_pylist() for i in range(3))
                 by_doc: dict[int, list] = {}
-                for k, no, lang, conf, n in segment_batch(shared.value, texts, switch, min_words):
+                for k, no, lang, conf, n in segment_batch(known, texts, switch, min_words):
                     by_doc.setdefault(k, []).append((no, lang, conf, n))
                 rows = []
                 for k, segs in by_doc.items():
