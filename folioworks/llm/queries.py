@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.llm.container_packing import container_fill, pack_documents, tokenizer_path
+from folioworks.llm.entity_matching import CONFIDENT, match_entities
 from folioworks.llm.eval_leakage import clean_documents, leaked_passages
 from folioworks.llm.language_segments import labelled_sample, language_segments, train_profiles
 from folioworks.llm.term_frequency import canonical_terms, mark_terms, term_counts
@@ -31,6 +32,22 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1_counts(spark, sf_dir).select("field_name", "term", "n_occurrences", "n_records", "mark")
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs of library books and reported works with their confidence."""
+    books = with_packed_values(table(spark, sf_dir, "library_books"), "tags", "tag_list").select(
+        F.col("book_key").alias("key"), "title", "author", "site", F.col("summary").alias("text"), F.col("release_year").alias("year"), F.col("tag_list").alias("tags"), (F.col("pages_count") * 300).alias("size")
+    )
+    year = F.regexp_extract("datepublished", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
+    works = with_packed_values(table(spark, sf_dir, "story_meta"), "eroticatags", "tag_list").select(
+        F.col("meta_id").alias("key"), "title", "author", "site", F.col("description").alias("text"), year.alias("year"), F.col("tag_list").alias("tags"), F.col("numwords").alias("size")
+    )
+    return match_entities(books, works).select(F.col("left_key").alias("book_key"), F.col("right_key").alias("meta_id"), "title", "author", "site", "year", "tags", "length", "text", "score", "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).where(F.col("confidence") >= CONFIDENT).select("book_key", "meta_id")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document went into which container, sized in tokens of byte_bpe_50k."""
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), tokenizer_path())
