@@ -1,18 +1,21 @@
 """The same works in two tables without a common key.
 
-Attributes become fixed bit vectors of hashed q-grams. Close titles are found exactly by multi-index Hamming hashing over the
-distinct titles; rows of close titles become candidate pairs, are scored by a field-weighted mean of Dice values, and the
-score is turned into a confidence by isotonic calibration against a field that the score does not use (the texts).
-
-Multi-index Hamming hashing: a title vector is cut into CHUNKS parts. Two vectors within RADIUS differ by at most
-RADIUS // CHUNKS = 1 bit in some part, and sets that differ by one bit share that part as it is or with one bit taken out,
-so these variants are the index keys. A variant of at most one bit says too little to be a key by itself; the other parts
-then hold at most RADIUS differences, so one of them differs by at most two bits, and the key is joined with that
-part's variants of up to two bits taken out. Nothing within the radius is lost, and no bucket collects what is merely short.
-
-A title that many rows share (a stock title by many authors) would give all pairs of its rows. Beyond ROW_PAIRS pairs, rows
-of close titles are therefore joined by a second attribute: the author's vector by the same hashing, and, where an author is
-missing, the site or the text; a pair without any of these cannot reach the threshold.
+Attributes become fixed bit vectors of hashed q-grams. Close pairs are found exactly by multi-index Hamming hashing, scored by
+a field-weighted mean of Dice values, and the score is turned into a confidence by isotonic calibration against a field
+that the score does not use (the texts).
+
+Multi-index Hamming hashing: a vector is cut into chunks. Two vectors within the radius differ by at most radius // chunks = 1
+bit in some chunk, and sets that differ by one bit share that chunk as it is or with one bit taken out, so these variants
+are the index keys. A variant of at most one bit says too little to be a key by itself; the other chunks then hold at most
+the radius, so one of them differs by at most two bits, and the key is joined with that chunk's variants of up to two
+bits taken out. Nothing within the radius is lost, and no bucket collects what is merely short.
+
+What is compared (always within one part number of a serial):
+  A  title and author in one vector, where both rows name an author;
+  B  the title, within one site, where an author is missing on either side;
+  C  rare word sequences of the texts, where an author and a site are missing in the pair.
+A stock title that many authors use is thus never a bucket of its own. The search runs over classes of rows that are equal
+in what is compared; only close classes are expanded into rows.
 
 Defined results: rows with a null key or without a title have no pair; parts of serials match only under the same number;
 placeholders (anonymous, unknown) count as missing; missing fields have no weight; repeated rows match each for itself.
@@ -35,9 +38,11 @@ from pyspark.sql import functions as F
 from folioworks.session import materialize
 
 TITLE_WORDS, AUTHOR_WORDS, TEXT_WORDS, TAG_WORDS = 8, 4, 8, 2  # 64-bit words of the vectors
-CHUNKS, RADIUS = 5, 9
-AUTHOR_CHUNKS, AUTHOR_RADIUS = 4, 7
-ROW_PAIRS = 2_500
+#: Vectors that are searched: words, chunks and radius for title with author, and for the title alone.
+BOTH_WORDS, BOTH_CHUNKS, BOTH_RADIUS = 12, 5, 9
+TITLE_CHUNKS, TITLE_RADIUS = 4, 7
+#: The least hashes of a text's word sequences that are its keys in C.
+TEXT_KEYS = 4
 #: Weights of the fields in the score; texts are kept for calibration.
 WEIGHTS = {"title": 3.0, "author": 4.0, "site": 4.0, "year": 1.0, "tags": 1.0, "length": 1.0}
 #: Overlap of texts from which two texts are the same, and how much more often that is so for the same work than else.
@@ -120,7 +125,8 @@ def _key(*parts: object) -> int:
 
 def index_keys(at: list[int], words: int, chunks: int, radius: int, scope: object) -> set[int]:
     """Index keys such that two vectors within the radius share at least one; see the module's text."""
-    width = 64 * words / chunks
+    # Hashes of whole numbers are the same in every Python process; the scope is made a number first.
+    scope, width = _key(scope), 64 * words / chunks
     cut: list[list[int]] = [[] for _ in range(chunks)]
     for i in at:
         cut[int(i / width)].append(i)
@@ -130,17 +136,21 @@ def index_keys(at: list[int], words: int, chunks: int, radius: int, scope: objec
         for gone in range(min(away, len(own)) + 1):
             for v in combinations(own, len(own) - gone):
                 if len(v) > 1:
-                    keys.add(_key(scope, c, v))
+                    keys.add(hash((scope, c, v)))
                     continue
                 more = -(-(radius + 1) // (chunks - 1)) - 1
                 for d, other in enumerate(cut):
                     if d != c:
                         for lost in range(min(more, len(other)) + 1):
                             for w in combinations(other, len(other) - lost):
-                                keys.add(_key(scope, c, v, d, w))
+                                keys.add(hash((scope, c, v, d, w)))
     return keys
 
 
+def both_places(main: str, author: tuple[str, str]) -> list[int]:
+    return places({"t" + g for g in grams(main)} | {"a" + g for g in grams(author[0])} | {"initial " + author[1]}, BOTH_WORDS)
+
+
 def _text_items(text: str | None) -> set[str]:
     w = [x for x in (_NO_ALNUM.sub("", p) for p in fold(re.sub(r"<[^>]*>", " ", text or "")).split()) if x]
     return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or ({" ".join(w)} if len(w) > 1 else set())
@@ -153,7 +163,7 @@ def _number(text: object) -> float | None:
 
 def encode(df: DataFrame) -> DataFrame:
     """Vectors and facts of rows (key, title, author, site, text, year, tags array, size). The size is in any unit."""
-    fields = "key long, title_id long, part string, main string, title array<long>, sub array<long>, author array<long>, author_keys array<long>, text array<long>, text_id long, tags array<long>, site string, year int, size double"
+    fields = "key long, main string, part string, last string, initial string, class_a long, class_b long, title array<long>, sub array<long>, author array<long>, text array<long>, text_keys array<long>, tags array<long>, site string, year int, size double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in fields.split(", ")]
@@ -166,21 +176,22 @@ def encode(df: DataFrame) -> DataFrame:
                 if not main or key is None:
                     continue
                 a = author_key(author)
-                at = places(grams(a[0]) | {"initial " + a[1]}, AUTHOR_WORDS) if a else None
                 items = _text_items(text)
                 tagged = {fold(t) for t in tags or [] if t}
                 rows.append(
                     (
                         key,
-                        _key(main, part),
-                        part,
                         main,
+                        part,
+                        a[0] if a else None,
+                        a[1] if a else None,
+                        _key(main, part, a) if a else None,
+                        _key(main, part, site) if site else None,
                         packed(places(grams(main), TITLE_WORDS), TITLE_WORDS),
                         packed(places(grams(sub), TITLE_WORDS), TITLE_WORDS) if sub else None,
-                        packed(at, AUTHOR_WORDS) if a else None,
-                        sorted(index_keys(at, AUTHOR_WORDS, AUTHOR_CHUNKS, AUTHOR_RADIUS, "author")) if a else None,
+                        packed(places(grams(a[0]) | {"initial " + a[1]}, AUTHOR_WORDS), AUTHOR_WORDS) if a else None,
                         packed(places(items, TEXT_WORDS), TEXT_WORDS) if items else None,
-                        _key(min(items)) if items else None,
+                        sorted(_key(part, i) for i in items)[:TEXT_KEYS] if items else None,
                         packed(places(tagged, TAG_WORDS), TAG_WORDS) if tagged else None,
                         site,
                         year,
@@ -193,19 +204,26 @@ def encode(df: DataFrame) -> DataFrame:
     return df.select("key", "title", "author", "site", "text", F.col("year").cast("int"), "tags", F.col("size").cast("string")).mapInArrow(run, fields)
 
 
-def _title_index(titles: DataFrame) -> DataFrame:
-    """(title_id, index key) of distinct titles."""
+def _index(classes: DataFrame, both: bool) -> DataFrame:
+    """(class, index_key, vector) of classes (class, main, part, last, initial) or (class, main, part, site)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
-            for i, main, part in zip(*(c.to_pylist() for c in b.columns)):
-                own = index_keys(places(grams(main), TITLE_WORDS), TITLE_WORDS, CHUNKS, RADIUS, part)
-                ids += [i] * len(own)
-                keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["title_id", "index_key"])
-
-    return titles.select("title_id", "main", "part").mapInArrow(run, "title_id long, index_key long")
+            ids, keys, vectors = [], [], []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if both:
+                    at, words, own = both_places(row[1], row[3:5]), BOTH_WORDS, ("A", row[2])
+                    found = index_keys(at, words, BOTH_CHUNKS, BOTH_RADIUS, own)
+                else:
+                    at, words, own = places(grams(row[1]), TITLE_WORDS), TITLE_WORDS, ("B", row[2], row[3])
+                    found = index_keys(at, words, TITLE_CHUNKS, TITLE_RADIUS, own)
+                ids.append(row[0])
+                keys.append(sorted(found))
+                vectors.append(packed(at, words))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, kind), pa.array(vectors, kind)], names=["class", "index_keys", "vector"])
+
+    return classes.mapInArrow(run, "class long, index_keys array<long>, vector array<long>")
 
 
 def _bits(a: str, words: int) -> Column:
@@ -224,46 +242,62 @@ def _overlap(a: str, b: str, words: int) -> Column:
     return _common(a, b, words) / F.least(_bits(a, words), _bits(b, words))
 
 
-def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of distinct titles within RADIUS, with the number of rows that have them: left_title, right_title, row_pairs."""
-    sides = []
-    for df, name in ((left, "left"), (right, "right")):
-        distinct = df.groupBy("title_id", "main", "part").agg(F.first("title").alias("title"), F.count(F.lit(1)).alias("n"))
-        sides.append((name, distinct))
-    keyed = [_title_index(d).select(F.col("title_id").alias(f"{n}_title"), "index_key") for n, d in sides]
-    pairs = keyed[0].join(keyed[1], "index_key").select("left_title", "right_title").distinct()
-    for n, d in sides:
-        pairs = pairs.join(d.select(F.col("title_id").alias(f"{n}_title"), F.col("title").alias(f"{n}_bits"), F.col("n").alias(f"{n}_n")), f"{n}_title")
-    apart = _bits("left_bits", TITLE_WORDS) + _bits("right_bits", TITLE_WORDS) - 2 * _common("left_bits", "right_bits", TITLE_WORDS)
-    return pairs.where(apart <= RADIUS).select("left_title", "right_title", (F.col("left_n") * F.col("right_n")).alias("row_pairs"))
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, titles: DataFrame) -> DataFrame:
-    """Keys of the rows of close titles; beyond ROW_PAIRS joined by a second attribute."""
-    few = titles.where(F.col("row_pairs") <= ROW_PAIRS)
-    many = titles.where(F.col("row_pairs") > ROW_PAIRS)
-    lk = left.select(F.col("title_id").alias("left_title"), F.col("key").alias("left_key"))
-    rk = right.select(F.col("title_id").alias("right_title"), F.col("key").alias("right_key"))
-    plain = few.join(lk, "left_title").join(rk, "right_title").select("left_key", "right_key")
-
-    def second(df: DataFrame, side: str, other: str) -> DataFrame:
-        """Second keys: the author's index keys; site and text, told apart by which side lacks the author."""
-        missing = F.col("author").isNull()
-        mark = lambda c, tag: F.when(c.isNotNull(), F.xxhash64(F.lit(tag), c))
-        site = F.array(F.when(missing, mark(F.col("site"), f"{side} lacks")), mark(F.col("site"), f"{other} lacks"), mark(F.col("text_id"), "text"))
-        keys = F.concat(F.coalesce("author_keys", F.array().cast("array<bigint>")), site)
-        return df.select(F.col("title_id").alias(f"{side}_title"), F.col("key").alias(f"{side}_key"), F.explode(F.filter(F.array_distinct(keys), lambda x: x.isNotNull())).alias("second"))
-
-    a = many.join(second(left, "left", "right"), "left_title")
-    both = a.join(second(right, "right", "left"), ["right_title", "second"]).select("left_key", "right_key").distinct()
-    return plain.unionByName(both)
+def _grows(df: DataFrame) -> DataFrame:
+    """A join side that grows with the data: it is never broadcast, whatever its files' size suggests."""
+    return df.hint("merge")
+
+
+def close_classes(left: DataFrame, right: DataFrame, words: int, radius: int) -> DataFrame:
+    """Pairs of classes (class, index_keys, vector) whose vectors are within the radius: left_class, right_class."""
+    keyed = [d.select(F.col("class").alias(f"{n}_class"), F.explode("index_keys").alias("index_key")) for n, d in (("left", left), ("right", right))]
+    pairs = keyed[0].join(_grows(keyed[1]), "index_key").select("left_class", "right_class").distinct()
+    for n, d in (("left", left), ("right", right)):
+        pairs = pairs.join(_grows(d.select(F.col("class").alias(f"{n}_class"), F.col("vector").alias(n))), f"{n}_class")
+    apart = _bits("left", words) + _bits("right", words) - 2 * _common("left", "right", words)
+    return pairs.where(apart <= radius).select("left_class", "right_class")
+
+
+def _expand(classes: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """Rows of close classes: left_key, right_key."""
+    for side, df in (("left", left), ("right", right)):
+        classes = classes.join(_grows(df.where(F.col(name).isNotNull()).select(F.col(name).alias(f"{side}_class"), F.col("key").alias(f"{side}_key"))), f"{side}_class")
+    return classes.select("left_key", "right_key")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_key and right_key of all rows that A, B or C bring together."""
+    named = [_index(d.where(F.col("class_a").isNotNull()).select("class_a", "main", "part", "last", "initial").distinct(), True) for d in (left, right)]
+    named = [materialize(d, "match-index-a") for d in named]
+    out = _expand(close_classes(*named, BOTH_WORDS, BOTH_RADIUS), left, right, "class_a")
+
+    nameless = F.col("author").isNull()
+    sited = [d.where(F.col("class_b").isNotNull()) for d in (left, right)]
+    index = [materialize(_index(d.select("class_b", "main", "part", "site").distinct(), False), "match-index-b") for d in sited]
+    for lacks_left in (True, False):
+        # One side is the rows without an author, the other all rows; pairs that lack both are found once.
+        few = sited[0 if lacks_left else 1].where(nameless)
+        own = few.select(F.col("class_b").alias("class")).distinct()
+        part = index[0 if lacks_left else 1].join(_grows(own), "class", "left_semi")
+        many = sited[1] if lacks_left else sited[0].where(~nameless)
+        pair = (part, index[1]) if lacks_left else (index[0], part)
+        rows = (few, many) if lacks_left else (many, few)
+        out = out.unionByName(_expand(close_classes(*pair, TITLE_WORDS, TITLE_RADIUS), *rows, "class_b"))
+
+    texts = [
+        d.select(F.col("key").alias(f"{n}_key"), nameless.alias(f"{n}_a"), F.col("site").isNull().alias(f"{n}_s"), F.explode("text_keys").alias("text_key"))
+        for n, d in (("left", left), ("right", right))
+    ]
+    for n_left, n_right in (("left_a", "left_s"), ("left_a", "right_s"), ("right_a", "left_s"), ("right_a", "right_s")):
+        sides = [t.where(" AND ".join(c for c in {n_left, n_right} if c.startswith(n)) or "true") for n, t in zip(("left", "right"), texts)]
+        out = out.unionByName(sides[0].join(_grows(sides[1]), "text_key").select("left_key", "right_key"))
+    return out.distinct()
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Field values of each pair, the weighted score without the texts, and the texts' overlap (null where one is missing)."""
     facts = ["title", "sub", "author", "text", "tags", "site", "year", "size"]
     for side, df in (("left", left), ("right", right)):
-        pairs = pairs.join(df.select(F.col("key").alias(f"{side}_key"), *[F.col(f).alias(f"{side}_{f}") for f in facts]), f"{side}_key")
+        pairs = pairs.join(_grows(df.select(F.col("key").alias(f"{side}_key"), *[F.col(f).alias(f"{side}_{f}") for f in facts])), f"{side}_key")
     both = lambda f: F.col(f"left_{f}").isNotNull() & F.col(f"right_{f}").isNotNull()
     title = _dice("left_title", "right_title", TITLE_WORDS)
     subtitle = F.when(both("sub"), _dice("left_sub", "right_sub", TITLE_WORDS))
@@ -317,6 +351,5 @@ def match_entities(left_rows: DataFrame, right_rows: DataFrame) -> DataFrame:
     """All candidate pairs: left_key, right_key, the field values, score and confidence."""
     left = materialize(encode(left_rows), "match-left")
     right = materialize(encode(right_rows), "match-right")
-    titles = materialize(close_titles(left, right), "match-titles")
-    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right, titles)), "match-scored")
+    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right)), "match-scored")
     return with_confidence(scored)
