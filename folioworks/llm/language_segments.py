@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
 #: n-grams of a profile, and the documents of the training sample (expected number; they are drawn by a hash of the id).
-PROFILE_GRAMS = 600
+PROFILE_GRAMS = 400
 SAMPLE_DOCUMENTS = 3000
 MIN_WORDS = 12
 #: Cost of a change of language in Viterbi, in words that fit one language entirely and another not at all.
@@ -49,8 +49,10 @@ LABELS = {
 
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>|&#?\w+;", re.S)
 _LINE_HYPHEN = re.compile(r"(?<=\w)-[^\S\n]*\r?\n\s*(?=\w)")
-_UNIT_END = re.compile(r"(?<=[.!?…:;])[\"'”’»“)\]]*\s+|\s*\n\s*|\s+(?=[„“«»‘])")
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_UNIT_END = re.compile(r"[.!?…:;\n][\"'”’»“)\]]*\s+|\n|\s(?=[„“«»‘])")
+#: Letters form words; END, set at the ends of sentences, stands for itself.
+END = "\x00"
+_TOKEN = re.compile(r"[^\W\d_]+|\x00")
 _MARKS = re.compile(r"[̀-ͯ]+")
 
 
@@ -75,9 +77,20 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+def tokens_of(text: str) -> list[str]:
+    """The folded text's words, with END behind each sentence."""
+    return _TOKEN.findall(_UNIT_END.sub(" \x00 ", fold(text).replace(END, " ")))
+
+
 def units_of(text: str) -> list[list[str]]:
-    """The folded text's sentences as lists of words; a sentence of names or digits only stays as it is."""
-    return [w for w in (_NO_LETTER.sub(" ", u).split() for u in _UNIT_END.split(fold(text))) if w]
+    """The sentences as lists of words."""
+    out: list[list[str]] = [[]]
+    for t in tokens_of(text):
+        if t == END:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [u for u in out if u]
 
 
 def word_grams(word: str) -> list[str]:
@@ -91,49 +104,78 @@ class Profiles:
 
     def __init__(self, counts: dict[str, Counter], tables: tuple[dict[str, int], np.ndarray] | None = None):
         self.worst = PROFILE_GRAMS
-        self._words: dict[str, np.ndarray] = {}
+        self._forget()
         if tables:
             self.ids, self.ranks = tables
             return
         ranked = {lang: [g for g, _ in sorted(counts.get(lang, Counter()).items(), key=lambda x: (-x[1], x[0]))[:PROFILE_GRAMS]] for lang in LANGUAGES}
         self.ids = {g: i for i, g in enumerate(dict.fromkeys(g for r in ranked.values() for g in r))}
-        self.ranks = np.full((len(self.ids) + 1, len(LANGUAGES)), -10 * PROFILE_GRAMS, dtype=np.int32)
+        self.ranks = np.full((len(LANGUAGES), len(self.ids) + 1), -10 * PROFILE_GRAMS, dtype=np.int32)
         for k, lang in enumerate(LANGUAGES):
             for r, g in enumerate(ranked[lang]):
-                self.ranks[self.ids[g], k] = r
-
-    def grams(self, word: str) -> np.ndarray:
-        got = self._words.get(word)
-        if got is None:
-            if len(self._words) > 100_000:
-                self._words.clear()
-            got = np.array([self.ids[g] for g in word_grams(word[:40]) if g in self.ids], dtype=np.int64)
-            self._words[word] = got
-        return got
+                self.ranks[k, self.ids[g]] = r
+
+    def _forget(self) -> None:
+        self._words: dict[str, int] = {END: 0}
+        self._new: list[list[int]] = [[]]
+        self._sizes = self._table = np.zeros(0, dtype=np.int64)
+
+    def _word(self, word: str) -> int:
+        at = self._words[word] = len(self._sizes) + len(self._new)
+        self._new.append([self.ids[g] for g in word_grams(word[:40]) if g in self.ids])
+        return at
+
+    def unit_distances(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For tokens with END behind each unit: how many units end before each token, each unit's words, and its mean out-of-place
+        distance to each language, from 0 to 1; 1 where a unit has no known n-gram."""
+        if len(self._words) > 200_000:
+            self._forget()
+        known = list(map(self._words.get, tokens))
+        if None in known:
+            for i, (t, k) in enumerate(zip(tokens, known)):
+                if k is None:
+                    k = self._words.get(t)
+                    known[i] = self._word(t) if k is None else k
+        words = np.array(known, dtype=np.int64)
+        if self._new:
+            more = np.fromiter(map(len, self._new), dtype=np.int64, count=len(self._new))
+            self._table = np.concatenate([self._table, np.fromiter((g for w in self._new for g in w), dtype=np.int64, count=int(more.sum()))])
+            self._sizes = np.concatenate([self._sizes, more])
+            self._new = []
+        sizes, table = self._sizes, self._table
+        starts = np.cumsum(sizes) - sizes
+        ends = words == 0
+        ended = np.concatenate([[0], np.cumsum(ends)])
+        unit = ended[:-1]
+        n_units = int(ends.sum())
+        n_words = np.bincount(unit[~ends], minlength=n_units)
+        out = np.ones((n_units, len(LANGUAGES)))
+        n = sizes[words]
+        total = int(n.sum())
+        if not total:
+            return ended, n_words, out
+        at = np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(total)
+        # unit and n-gram in one number; sorted, equal neighbours are counted.
+        pairs = np.sort((np.repeat(unit, n) << 16) | table[at])
+        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        count = np.minimum(np.diff(np.append(edge, total)), 255)
+        pairs = pairs[edge]
+        # Rank in the unit: by falling count, ties in the order of the table.
+        keys = np.sort(((pairs >> 16) << 24) | ((255 - count) << 16) | (pairs & 0xFFFF))
+        of, count, gram = keys >> 24, (255 - ((keys >> 16) & 0xFF)).astype(np.int32), keys & 0xFFFF
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        rank = (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))).astype(np.int32)
+        weight = np.add.reduceat(count, first) * float(self.worst)
+        for k in range(len(LANGUAGES)):
+            away = np.abs(self.ranks[k][gram] - rank)
+            np.minimum(away, self.worst, out=away)
+            away *= count
+            out[of[first], k] = np.add.reduceat(away, first) / weight
+        return ended, n_words, out
 
     def distances(self, units: list[list[str]]) -> np.ndarray:
-        """Mean out-of-place distance of each unit to each language, from 0 to 1; 1 where a unit has no known n-gram."""
-        out = np.ones((len(units), len(LANGUAGES)))
-        flat = [self.grams(w) for u in units for w in u]
-        if not flat:
-            return out
-        sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-        owner = np.repeat(np.repeat(np.arange(len(units)), [len(u) for u in units]), sizes)
-        if not len(owner):
-            return out
-        width = len(self.ids) + 1
-        pairs, counts = np.unique(owner * width + np.concatenate(flat), return_counts=True)
-        unit = pairs // width
-        # Rank in the unit: by falling count, ties in the order of the table.
-        order = np.argsort(unit * 4096 + (4095 - np.minimum(counts, 4095)), kind="stable")
-        unit, gram, n = unit[order], pairs[order] % width, counts[order]
-        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        rank = np.arange(len(unit)) - np.repeat(first, np.diff(np.append(first, len(unit))))
-        away = np.minimum(np.abs(self.ranks[gram] - rank[:, None].astype(np.int32)), self.worst)
-        total = np.add.reduceat(away * n[:, None], first, axis=0)
-        weight = np.add.reduceat(n, first)
-        out[unit[first]] = total / (weight[:, None] * self.worst)
-        return out
+        """Distances of units given as lists of words."""
+        return self.unit_distances([t for u in units for t in (*u, END)])[2]
 
 
 def _viterbi(cost: np.ndarray, switch: float) -> np.ndarray:
@@ -171,17 +213,24 @@ def _segments(cost: np.ndarray, words: np.ndarray, switch: float, min_words: int
 
 def segment_batch(profiles: Profiles, texts: list[str | None], switch: float, min_words: int) -> Iterator[tuple[int, int, int, float, int]]:
     """(text, segment number, language, confidence, words) of each segment."""
-    docs = [units_of(t) if t else [] for t in texts]
-    units = [u for d in docs for u in d]
-    dist = profiles.distances(units)
-    words = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    tokens: list[str] = []
+    bounds = [0]
+    for t in texts:
+        if t:
+            tokens += tokens_of(t)
+            tokens.append(END)
+        bounds.append(len(tokens))
+    ended, words, dist = profiles.unit_distances(tokens)
+    # Units of each text: the ENDs among its tokens; those without a word are skipped.
+    unit_bounds = ended[np.array(bounds)]
+    keep = words > 0
+    unit_bounds = np.concatenate([[0], np.cumsum(keep)])[unit_bounds]
+    words, dist = words[keep], dist[keep]
     # What matters is how much worse a language is than the best; a unit weighs as its words do.
     cost = (dist - dist.min(axis=1, keepdims=True)) * words[:, None]
-    at = 0
-    for k, d in enumerate(docs):
-        own = slice(at, at + len(d))
-        at += len(d)
-        if not d:
+    for k in range(len(texts)):
+        own = slice(int(unit_bounds[k]), int(unit_bounds[k + 1]))
+        if own.start == own.stop:
             continue
         for no, (lang, a, b) in enumerate(_segments(cost[own], words[own], switch, min_words), 1):
             n = words[own][a:b]
