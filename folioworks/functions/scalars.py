@@ -11,11 +11,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioworks.operators.packed_fields import lit_trim
 
 # Digit group separators beside the comma.
-GROUP_BLANKS = r"[,\s   ]"
+GROUP_BLANKS = r"[,\s\u00a0\u202f\u2009]"
 # File formats by media type, and image types by extension.
 FORMAT_OF_MIME = {
     "application/epub+zip": "epub",
@@ -32,13 +33,13 @@ CLAIMS = {"docx": "docx", "pdf": "pdf", "rtf": "rtf", "text": "txt|md|markdown",
 PIXELS = {"px": 1.0, "pt": 4.0 / 3.0, "pc": 16.0, "in": 96.0, "cm": 96.0 / 2.54, "mm": 96.0 / 25.4, "q": 96.0 / 101.6}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_casefold(s: pd.Series) -> pd.Series:
     """Composed and case-folded text: the equality of names throughout."""
     return s.map(lambda x: unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold()), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """Character references resolved."""
     return s.map(html.unescape, na_action="ignore")

@@ -75,11 +75,11 @@ def without_presentation(tag: Column, attrs: Column) -> Column:
 
 def mark_blank_paragraphs(text: Column) -> Column:
     """Empty paragraphs get class="blank"."""
-    return F.regexp_replace(text, r"(?i)<p>(?:\s|&nbsp;|&#160;| |<br\s*/?>)*</p>", '<p class="blank"></p>')
+    return F.regexp_replace(text, r"(?i)<p>(?:\s|&nbsp;|&#160;|\u00a0|<br\s*/?>)*</p>", '<p class="blank"></p>')
 
 
 def blank_paragraphs(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?i)<p>(?:\s|&nbsp;|&#160;| |<br\s*/?>)*</p>"))
+    return F.regexp_count(text, F.lit(r"(?i)<p>(?:\s|&nbsp;|&#160;|\u00a0|<br\s*/?>)*</p>"))
 
 
 def read_marker(text: Column) -> Column:

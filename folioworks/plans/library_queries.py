@@ -132,7 +132,7 @@ def sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stories").select("listing_id", S.sanitize(F.col("tags")).alias("tags"))
 
 
-@query("""SELECT meta_id, CASE WHEN numwords NOT LIKE '%.%' THEN TRY_CAST(regexp_replace(numwords, '[,\\s   ]', '', 'g') AS BIGINT) END AS words,
+@query("""SELECT meta_id, CASE WHEN numwords NOT LIKE '%.%' THEN TRY_CAST(regexp_replace(numwords, '[,\\s\u00a0\u202f\u2009]', '', 'g') AS BIGINT) END AS words,
 CASE WHEN numchapters NOT LIKE '%.%' THEN TRY_CAST(replace(numchapters, ',', '') AS BIGINT) END AS chapters FROM story_meta""")
 def int_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "story_meta").select("meta_id", S.int_or_null(F.col("numwords")).alias("words"), S.int_or_null(F.col("numchapters")).alias("chapters"))

@@ -43,27 +43,31 @@ def counts_by_window(stream: DataFrame, ts: str, delay: str, width: str, by: lis
 
 
 def suppress_echoes(stream: DataFrame, key: str, value: str, ttl_ms: int) -> DataFrame:
-    """Rows whose value differs from the one remembered for their key; what was remembered expires after ``ttl_ms``."""
+    """Rows whose value differs from the one remembered for their key; what was remembered counts no more after ``ttl_ms``.
+
+    One small state row a key; age is tested when the key comes again, so that a finite stream ends without timers.
+    """
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+        import time
+
+        now = int(time.time() * 1000)
+        last, seen = state.get if state.exists else (None, now)
+        if now - seen > ttl_ms:
+            last = None
         out = []
         for pdf in frames:
             for v in pdf[value]:
                 if v != last:
                     out.append((k[0], v))
                     last = v
-        state.update((last,))
-        state.setTimeoutDuration(ttl_ms)
+        state.update((last, now))
         if out:
             yield pd.DataFrame(out, columns=[key, value])
 
     schema = f"{key} {kind}, {value} string"
-    return stream.select(key, F.col(value).cast("string").alias(value)).groupBy(key).applyInPandasWithState(step, schema, "last string", "append", "ProcessingTimeTimeout")
+    return stream.select(key, F.col(value).cast("string").alias(value)).groupBy(key).applyInPandasWithState(step, schema, "last string, seen long", "append", "NoTimeout")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, output_mode: str = "append") -> DataFrame:
