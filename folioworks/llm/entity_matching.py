@@ -52,7 +52,9 @@ CONFIDENT = 0.5
 # Remarks behind a title, parts that are works of their own, and placeholders for authors.
 _REMARK = re.compile(r"\s*\*+[^*]{1,20}\*+\s*$|[\s\-–—(\[]*\b(?:complete|completed|edited|updated|revised|repost|reposted|final|finished)\b[\s)\]]*$")
 _SIDE = re.compile(r"[\s\-–—:,(]*\b(prologue|epilogue|side stor(?:y|ies)|interlude|sequel)\)?\s*$")
-_NUMBER = re.compile(r"[\s,\-–—:(#]*(?:\b(?:pt|part|ch|chap|chapter|vol|volume|book|no|nr|teil|partie|parte)\b)?[\s.]*[#(]?\s*\b(\d{1,4}|[ivx]{1,5})\)?\s*$")
+_NUMBER = re.compile(
+    r"[\s,\-–—:]*(?:(?:\b(?:pt|part|ch|chap|chapter|vol|volume|book|no|nr|teil|partie|parte)\b[\s.]*[#(]?|[#(])\s*(\d{1,4}|[ivx]{1,5})\)?|(?<=[\s,\-–—:])(\d{1,4}))\s*$"
+)
 _ROMAN = {"i": 1, "v": 5, "x": 10}
 PLACEHOLDERS = frozenset(["", "anonymous", "anon", "unknown", "n/a", "na", "none", "null", "-", "--", "?", "author"])
 _NO_ALNUM = re.compile(r"[^\w]|_")
@@ -80,7 +82,8 @@ def title_key(title: str | None) -> tuple[str, str, str]:
     if (m := _SIDE.search(t)) and m.start() > 0:
         part, t = m[1][:4], t[: m.start()]
     elif (m := _NUMBER.search(t)) and m.start() > 0:
-        n = int(m[1]) if m[1].isdigit() else _roman(m[1])
+        number = m[1] or m[2]
+        n = int(number) if number.isdigit() else _roman(number)
         if n is not None:
             part, t = str(n), t[: m.start()]
     t = re.sub(r"[,\s]+(?:the|a|an)\s*$", "", t)

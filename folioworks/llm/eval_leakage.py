@@ -33,7 +33,7 @@ BLOCK_WORDS = 2_000_000
 # Elements that do not end a word.
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|a|small|sub|sup|font|mark|code)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>", re.S)
-_LINE_HYPHEN = re.compile(r"[-‐­][^\S\n]*\r?\n\s*")
+_LINE_HYPHEN = re.compile(r"[-‐\u00ad][^\S\n]*\r?\n\s*")
 _NO_WORD = re.compile(r"[^\w\s]|_")
 
 

@@ -53,7 +53,7 @@ _UNIT_END = re.compile(r"[.!?…:;\n][\"'”’»“)\]]*\s+|\n|\s(?=[„“«»
 #: Letters form words; END, set at the ends of sentences, stands for itself.
 END = "\x00"
 _TOKEN = re.compile(r"[^\W\d_]+|\x00")
-_MARKS = re.compile(r"[̀-ͯ]+")
+_MARKS = re.compile(r"[\u0300-\u036f]+")
 
 
 def label_language(label: Column) -> Column:
@@ -73,7 +73,7 @@ def fold(text: str) -> str:
     if "\n" in text:
         text = _LINE_HYPHEN.sub("", text)
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("​", "").replace("­", "")
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("\u200b", "").replace("\u00ad", "")
     return text.lower()
 
 
