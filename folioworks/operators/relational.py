@@ -29,13 +29,17 @@ def first_by_key_agg(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 
 def at_least(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """Rows whose every named value is a number and reaches its minimum; booleans count as 0 or 1; no thresholds keep all."""
-    keep = F.lit(True)
+    """Rows whose every named value is a number and reaches its minimum; booleans count as 0 or 1; no thresholds keep all.
+
+    Plain comparisons, so that they reach the scan; a filter drops what is unknown anyway.
+    """
     for name, least in thresholds.items():
         kind = dict(df.dtypes)[name]
-        value = F.lit(None).cast("double") if kind == "string" else F.col(name).cast("int" if kind == "boolean" else "double")
-        keep = keep & F.coalesce(value >= least, F.lit(False))
-    return df.where(keep)
+        if kind == "string":
+            df = df.where(F.lit(False))
+        else:
+            df = df.where((F.col(name).cast("int") if kind == "boolean" else F.col(name)) >= F.lit(least))
+    return df
 
 
 def budget_antijoin(df: DataFrame, known: DataFrame, key: str, order: list[Column], budget: int) -> DataFrame:

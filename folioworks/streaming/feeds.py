@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def changes_since(df: DataFrame, ts: str, marker: Column) -> DataFrame:
     """Rows newer than the marker. A null marker is a first look: it gives no rows, only a baseline."""
-    return df.where(F.coalesce(F.col(ts) > marker, F.lit(False)))
+    return df.where(F.col(ts) > marker)
 
 
 def next_marker(df: DataFrame, ts: str, marker: Column, epoch: Column) -> DataFrame:
