@@ -5,6 +5,8 @@ Windows are always partitioned by a document or another bounded unit. Ties are b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +49,27 @@ def midpoint_ranges(df: DataFrame, doc: str, mark: str) -> DataFrame:
     return df.withColumns({"low": low, "high": high})
 
 
-def last_at_or_before(points: DataFrame, marks: DataFrame, doc: str, at: str, start: str, value: str) -> DataFrame:
+def last_at_or_before(points: DataFrame, marks: DataFrame, doc: str, at: str, start: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every point with the last mark of its document that starts at or before it, null before the first.
 
-    One union and one running last value instead of an inequality join, so that the work is linear in both tables.
+    One union and one running last value instead of an inequality join, so that the work is linear in both tables. ``bucket``, a
+    non-decreasing function of the place, cuts a document that may hold many rows: each bucket is walked by itself, and the
+    last value of the buckets before comes from a table of one row a bucket.
     """
     p = points.withColumns({"__at": F.col(at), "__kind": F.lit(1), "__v": F.lit(None).cast(dict(marks.dtypes)[value])})
     m = marks.select(F.col(doc), F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__v"))
-    w = Window.partitionBy(doc).orderBy("__at", "__kind", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = p.unionByName(m, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.where("__kind = 1").drop("__at", "__kind", "__v")
+    both = p.unionByName(m, allowMissingColumns=True)
+    both = both.withColumn("__bucket", bucket(F.col("__at")) if bucket else F.lit(0))
+    w = Window.partitionBy(doc, "__bucket").orderBy("__at", "__kind", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__kind = 1")
+    if bucket:
+        own = F.max(F.when(F.col("__kind") == 0, F.struct("__at", "__v")))["__v"]
+        ends = both.groupBy(doc, "__bucket").agg(own.alias("__end"))
+        before = Window.partitionBy(doc).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col(doc).alias("__doc"), F.col("__bucket").alias("__b"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+        walked = walked.join(carried, walked[doc].eqNullSafe(F.col("__doc")) & F.col("__bucket").eqNullSafe(F.col("__b")), "left")
+        walked = walked.withColumn("__last", F.coalesce("__last", "__carry"))
+    return walked.withColumn(value, F.col("__last")).drop("__at", "__kind", "__v", "__bucket", "__last", "__doc", "__b", "__carry")
 
 
 def nearest_mark(points: DataFrame, marks: DataFrame, doc: str, at: str, mark: str, key: list[str]) -> DataFrame:

@@ -162,7 +162,10 @@ def conflicting(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def elect(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """One survivor per group by several keys; ``order`` says where nulls go and must end in a unique key. Map-side reduced."""
+    """One survivor per group by several keys; ``order`` says where nulls go and must end in a unique key.
+
+    Catalyst turns rank = 1 into a group limit before the shuffle, so that a hot group sends one row a task.
+    """
     return first_by_key(df, group, order)
 
 

@@ -102,7 +102,7 @@ def with_readings(df: DataFrame, value_col: str, zone_col: str, order_col: str,
     df = df.withColumn("__ts_t", text)
     joined = F.regexp_replace(F.col("__ts_t"), VALUE, _SEP.join(f"${i}" for i in range(1, _GROUPS + 1)))
     # Element 0 is unused so that elements count like groups.
-    df = df.withColumn("__ts_g", F.when(F.length("__ts_t").between(6, 60) & ~F.col("__ts_t").rlike("^[0-9]+$"), F.split(F.concat(F.lit(_SEP), joined), _SEP)))
+    df = df.withColumn("__ts_g", F.when(F.length("__ts_t").between(6, 100) & ~F.col("__ts_t").rlike("^[0-9]+$"), F.split(F.concat(F.lit(_SEP), joined), _SEP)))
     df = df.withColumn("__ts_ok", F.coalesce(F.size("__ts_g") == _GROUPS + 1, F.lit(False)))
     month_by_name = {n: k for k, names in MONTH_NAMES.items() for n in names.split()}
     name = F.lower(F.coalesce(m(10), m(12)))

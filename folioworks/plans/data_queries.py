@@ -73,5 +73,43 @@ def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_activity_tags, p3_found, p4_found, p4_resolved)}
 
 
+# The same tables in DuckDB's JSON functions: unwrap, list, then one SELECT a child table.
+_DOCS = """
+WITH t AS (SELECT page_id, ltrim(payload, chr(65279) || chr(10) || ' ') AS x FROM {table} WHERE payload IS NOT NULL),
+u AS (SELECT page_id, CASE WHEN json_valid(x) AND json_type(x) = 'VARCHAR' THEN ltrim(json_extract_string(x, '$'), chr(65279) || chr(10) || ' ') ELSE x END AS x FROM t),
+v AS (SELECT page_id, TRY_CAST(x AS JSON) AS j FROM u WHERE json_valid(x)),
+w AS (SELECT page_id, coalesce(j->'$.{list}', j->'$.result.{list}') AS d FROM v),
+a AS (SELECT page_id, CASE json_type(d) WHEN 'ARRAY' THEN CAST(d AS JSON[]) WHEN 'OBJECT' THEN [d] END AS ds FROM w),
+r AS (SELECT page_id, unnest(ds) AS rec, generate_subscripts(ds, 1) AS pos FROM a),
+k AS (SELECT page_id, rec, pos, rec->>'$.id' AS rec_key FROM r WHERE rec->>'$.id' IS NOT NULL)
+"""
+
+
+def _child_sql(kind: str, path: str, key: str) -> str:
+    lists = f"CASE json_type(rec->'{path}') WHEN 'ARRAY' THEN CAST(rec->'{path}' AS JSON[]) WHEN 'OBJECT' THEN [rec->'{path}'] END"
+    inner = f"SELECT page_id, rec_key, unnest({lists}) AS e, generate_subscripts({lists}, 1) AS pos FROM k"
+    return f"SELECT page_id, rec_key AS parent_key, '{kind}' AS child_kind, CAST(pos AS BIGINT) AS child_pos, {key} AS child_key FROM ({inner}) WHERE {key} IS NOT NULL"
+
+
+def _one_sql(kind: str, path: str) -> str:
+    return f"SELECT page_id, rec_key AS parent_key, '{kind}' AS child_kind, CAST(1 AS BIGINT) AS child_pos, rec->>'{path}' AS child_key FROM k WHERE rec->>'{path}' IS NOT NULL"
+
+
+def _top_sql(kind: str) -> str:
+    return f"SELECT page_id, CAST(page_id AS VARCHAR) AS parent_key, '{kind}' AS child_kind, CAST(pos AS BIGINT) AS child_pos, rec_key AS child_key FROM k"
+
+
+def _nested_sql() -> tuple[str, str]:
+    tag = _child_sql("tag", "$.what.tags", "CASE json_type(e) WHEN 'OBJECT' THEN e->>'$.tag' WHEN 'ARRAY' THEN NULL ELSE e->>'$' END")
+    wall = [_top_sql("activity"), _one_sql("author", "$.what.author.userid"), _one_sql("category", "$.what.category_info.type"), tag, _child_sql("episode", "$.what.series.items", "e->>'$.id'")]
+    book = [_top_sql("book"), _one_sql("media", "$.media.status"), _child_sql("contributor", "$.metadata.authors", "e->>'$.name'")]
+    whole = [
+        f"SELECT DISTINCT '{t}' AS src_table, * FROM ({_DOCS.format(table=t, list=x)} {' UNION ALL '.join(parts)})"
+        for t, x, parts in (("wall_pages", "data", wall), ("book_pages", "content", book))
+    ]
+    return " UNION ALL ".join(whole), f"SELECT DISTINCT * FROM ({_DOCS.format(table='wall_pages', list='data')} {tag})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found, tags = _nested_sql()
+    return {"p2_found": found, "p2_activity_tags": tags}

@@ -338,7 +338,7 @@ SELECT c.user_id, c.event_id, (SELECT max({'t': p.ts, 'e': p.event_id}).e FROM e
 def last_anchor(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
     marks = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("start"), F.col("event_id").alias("last_purchase"))
-    return O.last_at_or_before(e.where("event_type = 'click'").drop("event_type"), marks, "user_id", "ts", "start", "last_purchase").select("user_id", "event_id", "last_purchase")
+    return O.last_at_or_before(e.where("event_type = 'click'").drop("event_type"), marks, "user_id", "ts", "start", "last_purchase", bucket=lambda t: F.to_date(t)).select("user_id", "event_id", "last_purchase")
 
 
 @query("""

@@ -124,8 +124,9 @@ def test_nearest_and_last_mark(spark):
     pts = spark.createDataFrame([("d", 5), ("d", 1), ("e", 3), ("d", 20)], "doc string, at int")
     marks = spark.createDataFrame([("d", 2), ("d", 8), ("d", 8)], "doc string, m int")
     assert {(r.doc, r.at): r.nearest for r in O.nearest_mark(pts, marks, "doc", "at", "m", ["at"]).collect()} == {("d", 5): 2, ("d", 1): 2, ("e", 3): None, ("d", 20): 8}
-    got = O.last_at_or_before(pts, marks.withColumn("v", F.col("m") * 10), "doc", "at", "m", "v")
-    assert {(r.doc, r.at): r.v for r in got.collect()} == {("d", 5): 20, ("d", 1): None, ("e", 3): None, ("d", 20): 80}
+    for bucket in (None, lambda c: F.floor(c / 4), lambda c: F.floor(c / 100)):
+        got = O.last_at_or_before(pts, marks.withColumn("v", F.col("m") * 10), "doc", "at", "m", "v", bucket)
+        assert {(r.doc, r.at): r.v for r in got.collect()} == {("d", 5): 20, ("d", 1): None, ("e", 3): None, ("d", 20): 80}
 
 
 def test_readers(spark, tmp_path):
