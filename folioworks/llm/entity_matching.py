@@ -48,6 +48,8 @@ WEIGHTS = {"title": 3.0, "author": 4.0, "site": 4.0, "year": 1.0, "tags": 1.0, "
 #: Overlap of texts from which two texts are the same, and how much more often that is so for the same work than else.
 TEXT_SAME, TEXT_ODDS = 0.6, 200.0
 CONFIDENT = 0.5
+#: Pairs whose titles are less alike than this (Dice) are dropped: texts alone, often a stock sentence, name no work.
+LEAST_TITLE = 0.5
 
 # Remarks behind a title, parts that are works of their own, and placeholders for authors.
 _REMARK = re.compile(r"\s*\*+[^*]{1,20}\*+\s*$|[\s\-–—(\[]*\b(?:complete|completed|edited|updated|revised|repost|reposted|final|finished)\b[\s)\]]*$")
@@ -354,5 +356,5 @@ def match_entities(left_rows: DataFrame, right_rows: DataFrame) -> DataFrame:
     """All candidate pairs: left_key, right_key, the field values, score and confidence."""
     left = materialize(encode(left_rows), "match-left")
     right = materialize(encode(right_rows), "match-right")
-    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right)), "match-scored")
+    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right)).where(F.col("title") >= LEAST_TITLE), "match-scored")
     return with_confidence(scored)
