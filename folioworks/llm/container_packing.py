@@ -212,41 +212,41 @@ def pack_documents(documents: DataFrame, specs: DataFrame, vocabulary: str) -> D
 
     salts = int(min(4096, max(8, sizes.count() // RANK_ROWS)))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
-    # At most capacity x salts rows; both are parameters.
-    counts = salted.groupBy("spec_id", "length", "salt").count().collect()
-    offsets: dict[tuple[int, int, int], int] = {}
+    counts = salted.groupBy("spec_id", "length", "salt").count()
+    # The histogram, at most capacity + 1 rows a specification.
     totals: dict[int, dict[int, int]] = {}
-    for s, length, salt, n in sorted(map(tuple, counts)):
-        own = totals.setdefault(s, {})
-        offsets[(s, length, salt)] = own.get(length, 0)
-        own[length] = own.get(length, 0) + n
+    for s, length, n in salted.groupBy("spec_id", "length").count().collect():
+        totals.setdefault(s, {})[length] = n
     plans = {}
     for s, cap, sep in wanted:
         if s in totals:
             ranges, _ = make_plan(np.array(list(totals[s])), np.array(list(totals[s].values())), cap + sep)
             own, first = np.unique(ranges[:, 0], return_index=True)
             plans[s] = {n: ranges[a:z, 1:] for n, a, z in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(ranges)])}
-    shared = spark.sparkContext.broadcast((plans, offsets))
+    shared = spark.sparkContext.broadcast(plans)
 
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("spec_id", "length", "salt").orderBy("doc_id", "piece_no")) - 1)
-    ranked = ranked.select("spec_id", "length", "salt", "rank", "doc_id", "piece_no", "n_pieces", "first_token", F.col("piece_tokens").alias("n_tokens"))
+    # A rank among all items of a length: the rank within the salt, and the counts of the salts before. The join finds the items
+    # partitioned as the ranking left them; only the counts move.
+    before = Window.partitionBy("spec_id", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("spec_id", "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("spec_id", "length", "salt").orderBy("doc_id", "piece_no")) - 1
+    ranked = salted.withColumn("within", within).join(offsets.hint("merge"), ["spec_id", "length", "salt"])
+    ranked = ranked.select("spec_id", "length", (F.col("within") + F.col("offset")).alias("rank"), "doc_id", "piece_no", "n_pieces", "first_token", F.col("piece_tokens").alias("n_tokens"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans, offsets = shared.value
+        plans = shared.value
         for b in batches:
-            s, length, salt, rank = (np.asarray(b.column(i)).astype(np.int64) for i in range(4))
+            s, length, rank = (np.asarray(b.column(i)).astype(np.int64) for i in range(3))
             container, slot = np.empty(b.num_rows, dtype=np.int64), np.empty(b.num_rows, dtype=np.int64)
-            keys = np.stack([s, length, salt], axis=1)
-            groups, inverse = np.unique(keys, axis=0, return_inverse=True)
+            groups, inverse = np.unique(np.stack([s, length], axis=1), axis=0, return_inverse=True)
             order = np.argsort(inverse.ravel(), kind="stable")
             edges = np.searchsorted(inverse.ravel()[order], np.arange(len(groups) + 1))
-            for g, (gs, gl, gt) in enumerate(groups.tolist()):
+            for g, (gs, gl) in enumerate(groups.tolist()):
                 rows = order[edges[g] : edges[g + 1]]
-                own = plans[gs][gl]
-                r = rank[rows] + offsets[(gs, gl, gt)]
+                own, r = plans[gs][gl], rank[rows]
                 k = np.searchsorted(own[:, 0], r, "right") - 1
                 container[rows], slot[rows] = own[k, 2] + r - own[k, 0], own[k, 3]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(container), pa.array(slot), *[b.column(i) for i in range(4, 9)]], names=["spec_id", "container_id", "slot", "doc_id", "piece_no", "n_pieces", "first_token", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(container), pa.array(slot), *[b.column(i) for i in range(3, 8)]], names=["spec_id", "container_id", "slot", "doc_id", "piece_no", "n_pieces", "first_token", "n_tokens"])
 
     return ranked.mapInArrow(place, schema)
 
