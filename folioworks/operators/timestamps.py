@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.operators.packed_fields import lit_trim
+from folioworks.session import materialize
 
 # Month names by number, in the languages of the sources (full names and English abbreviations).
 MONTH_NAMES = {
@@ -287,6 +288,8 @@ def choose_readings(
         *[at(o, place).alias(f"{name}_{o}") for o in ("MDY", "DMY") for name, place in (("e", 1), ("l", -1))],
         F.size(F.array_distinct(F.transform("readings", lambda r: r.micros))).alias("n_instants"),
     )
+    # Two passes read the rows; written once, they are not parsed twice.
+    slim = materialize(slim, "readings")
     src = [f"s{i}" for i in range(len(source_cols))]
     cols = ["e_MDY", "l_MDY", "e_DMY", "l_DMY"]
     src_schema = ", ".join(f"{s} string" for s in src)
