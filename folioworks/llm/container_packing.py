@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.session import materialize
+from folioworks.session import materialize, spread
 
 BINS = 512
 DEPTH = 3
@@ -68,7 +68,7 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
             sizes = [len(size(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(count, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text").where("text IS NOT NULL")).mapInArrow(count, "doc_id long, n_tokens long")
 
 
 # ---- the plan, on the driver, from a histogram of at most capacity + 1 lengths ----

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioworks.session import spread
+
 PASSAGE_WORDS = 28
 #: Words of a shard: the suffix array and its scratch space take about 80 bytes a word.
 SHARD_WORDS = 600_000
@@ -166,7 +168,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, passage: int = PASSA
             yield flush(docs)
 
     slim = documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    return slim.mapInArrow(search, "item_id long, doc_id long, passage_words long, verbatim_words long, item_word long, doc_word long")
+    return spread(slim).mapInArrow(search, "item_id long, doc_id long, passage_words long, verbatim_words long, item_word long, doc_word long")
 
 
 def clean_documents(documents: DataFrame, matches: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.session import spread
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
 #: n-grams of a profile, and the documents of the training sample (expected number; they are drawn by a hash of the id).
 PROFILE_GRAMS = 400
@@ -303,7 +305,7 @@ def language_segments(documents: DataFrame, profiles: Profiles, switch: float =
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
     slim = documents.select("doc_id", label_language(F.col("lang")).alias("label_lang"), "text")
-    return slim.mapInArrow(run, "doc_id long, label_lang string, seg_no long, seg_lang string, confidence double, seg_words long, n_segments long, main_lang string")
+    return spread(slim).mapInArrow(run, "doc_id long, label_lang string, seg_no long, seg_lang string, confidence double, seg_words long, n_segments long, main_lang string")
 
 
 def _bounded(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
