@@ -244,28 +244,38 @@ def segment_batch(profiles: Profiles, texts: list[str | None], switch: float, mi
 
 def train_profiles(reliable: list[tuple[str, str]], sample: list[tuple[str, str]]) -> Profiles:
     """Profiles of (language, text) pairs: first of the reliable ones, then with the sample's texts that agree with them."""
-    counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+    words: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
 
     def add(lang: str, units: list[list[str]]) -> None:
-        if lang in counts:
+        if lang in words:
             for u in units:
-                for w in u:
-                    counts[lang].update(word_grams(w))
+                words[lang].update(u)
+
+    def profiles() -> Profiles:
+        """Each distinct word is cut into n-grams once and counts as often as it occurs."""
+        counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+        for lang, own in words.items():
+            for w, n in own.items():
+                for g in word_grams(w):
+                    counts[lang][g] += n
+        return Profiles(counts)
 
     for lang, text in reliable:
         add(lang, units_of(text))
-    first = Profiles(counts)
+    first = profiles()
     if not reliable:
         for lang, text in sample:
             add(lang, units_of(text))
-        first = Profiles(counts)
-        counts = {lang: Counter() for lang in LANGUAGES}
-    for lang, text in sample:
-        units = units_of(text)
-        near = first.distances(units).argmin(axis=1)
+        first = profiles()
+        words = {lang: Counter() for lang in LANGUAGES}
+    for start in range(0, len(sample), 500):
+        labelled = [(lang, u) for lang, text in sample[start : start + 500] for u in units_of(text)]
+        near = first.distances([u for _, u in labelled]).argmin(axis=1)
         # Only the sentences that agree: a labelled text may hold parts in other languages.
-        add(lang, [u for u, k in zip(units, near) if LANGUAGES[k] == lang])
-    return Profiles(counts)
+        for (lang, u), k in zip(labelled, near):
+            if LANGUAGES[k] == lang:
+                add(lang, [u])
+    return profiles()
 
 
 def labelled_sample(documents: DataFrame, expected: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
