@@ -13,9 +13,11 @@ bits taken out. Nothing within the radius is lost, and no bucket collects what i
 What is compared (always within one part number of a serial):
   A  title and author in one vector, where both rows name an author;
   B  the title, within one site, where an author is missing on either side;
-  C  rare word sequences of the texts, where an author and a site are missing in the pair.
-A stock title that many authors use is thus never a bucket of its own. The search runs over classes of rows that are equal
-in what is compared; only close classes are expanded into rows.
+  C  the texts, where an author and a site are missing in the pair: if the smaller set of word sequences shares TEXT_SAME
+     of its items, any subset that leaves out less than that share meets the other set, so its rarest items are the keys;
+  D  the title, whatever the site, for the same pairs as C.
+A stock title that many authors use is thus a bucket of its own only where nothing else is known; there its rows are salted.
+The search runs over classes of rows that are equal in what is compared; only close classes are expanded into rows.
 
 Defined results: rows with a null key or without a title have no pair; parts of serials match only under the same number;
 placeholders (anonymous, unknown) count as missing; missing fields have no weight; repeated rows match each for itself.
@@ -41,8 +43,8 @@ TITLE_WORDS, AUTHOR_WORDS, TEXT_WORDS, TAG_WORDS = 8, 4, 8, 2  # 64-bit words of
 #: Vectors that are searched: words, chunks and radius for title with author, and for the title alone.
 BOTH_WORDS, BOTH_CHUNKS, BOTH_RADIUS = 12, 5, 9
 TITLE_CHUNKS, TITLE_RADIUS = 4, 7
-#: The least hashes of a text's word sequences that are its keys in C.
-TEXT_KEYS = 4
+#: Shares that the rows of a title class are cut into in D.
+SALTS = 8
 #: Weights of the fields in the score; texts are kept for calibration.
 WEIGHTS = {"title": 3.0, "author": 4.0, "site": 4.0, "year": 1.0, "tags": 1.0, "length": 1.0}
 #: Overlap of texts from which two texts are the same, and how much more often that is so for the same work than else.
@@ -168,7 +170,7 @@ def _number(text: object) -> float | None:
 
 def encode(df: DataFrame) -> DataFrame:
     """Vectors and facts of rows (key, title, author, site, text, year, tags array, size). The size is in any unit."""
-    fields = "key long, main string, part string, last string, initial string, class_a long, class_b long, title array<long>, sub array<long>, author array<long>, text array<long>, text_keys array<long>, tags array<long>, site string, year int, size double"
+    fields = "key long, main string, part string, last string, initial string, class_a long, class_b long, class_d long, title array<long>, sub array<long>, author array<long>, text array<long>, text_items array<long>, tags array<long>, site string, year int, size double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in fields.split(", ")]
@@ -192,11 +194,12 @@ def encode(df: DataFrame) -> DataFrame:
                         a[1] if a else None,
                         _key(main, part, a) if a else None,
                         _key(main, part, site) if site else None,
+                        _key(main, part),
                         packed(places(grams(main), TITLE_WORDS), TITLE_WORDS),
                         packed(places(grams(sub), TITLE_WORDS), TITLE_WORDS) if sub else None,
                         packed(places(grams(a[0]) | {"initial " + a[1]}, AUTHOR_WORDS), AUTHOR_WORDS) if a else None,
                         packed(places(items, TEXT_WORDS), TEXT_WORDS) if items else None,
-                        sorted(_key(part, i) for i in items)[:TEXT_KEYS] if items else None,
+                        sorted({_key(part, i) for i in items}) if items else None,
                         packed(places(tagged, TAG_WORDS), TAG_WORDS) if tagged else None,
                         site,
                         year,
@@ -210,7 +213,7 @@ def encode(df: DataFrame) -> DataFrame:
 
 
 def _index(classes: DataFrame, both: bool) -> DataFrame:
-    """(class, index_key, vector) of classes (class, main, part, last, initial) or (class, main, part, site)."""
+    """(class, index_key, vector) of classes (class, main, part, last, initial), (class, main, part, site) or (class, main, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +223,7 @@ def _index(classes: DataFrame, both: bool) -> DataFrame:
                     at, words, own = both_places(row[1], row[3:5]), BOTH_WORDS, ("A", row[2])
                     found = index_keys(at, words, BOTH_CHUNKS, BOTH_RADIUS, own)
                 else:
-                    at, words, own = places(grams(row[1]), TITLE_WORDS), TITLE_WORDS, ("B", row[2], row[3])
+                    at, words, own = places(grams(row[1]), TITLE_WORDS), TITLE_WORDS, ("B", *row[2:4])
                     found = index_keys(at, words, TITLE_CHUNKS, TITLE_RADIUS, own)
                 ids.append(row[0])
                 keys.append(sorted(found))
@@ -252,14 +255,14 @@ def _grows(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def close_classes(left: DataFrame, right: DataFrame, words: int, radius: int) -> DataFrame:
-    """Pairs of classes (class, index_keys, vector) whose vectors are within the radius: left_class, right_class."""
-    keyed = [d.select(F.col("class").alias(f"{n}_class"), F.explode("index_keys").alias("index_key")) for n, d in (("left", left), ("right", right))]
-    pairs = keyed[0].join(_grows(keyed[1]), "index_key").select("left_class", "right_class").distinct()
+def close_classes(left: DataFrame, right: DataFrame, words: int, radius: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of classes (class, index_keys, vector) whose vectors are within the radius and which are alike in ``within``: left_class, right_class."""
+    keyed = [d.select(F.col("class").alias(f"{n}_class"), *within, F.explode("index_keys").alias("index_key")) for n, d in (("left", left), ("right", right))]
+    pairs = keyed[0].join(_grows(keyed[1]), ["index_key", *within]).select("left_class", "right_class", *within).distinct()
     for n, d in (("left", left), ("right", right)):
-        pairs = pairs.join(_grows(d.select(F.col("class").alias(f"{n}_class"), F.col("vector").alias(n))), f"{n}_class")
+        pairs = pairs.join(_grows(d.select(F.col("class").alias(f"{n}_class"), *within, F.col("vector").alias(n))), [f"{n}_class", *within])
     apart = _bits("left", words) + _bits("right", words) - 2 * _common("left", "right", words)
-    return pairs.where(apart <= radius).select("left_class", "right_class")
+    return pairs.where(apart <= radius).select("left_class", "right_class", *within)
 
 
 def _expand(classes: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -269,8 +272,60 @@ def _expand(classes: DataFrame, left: DataFrame, right: DataFrame, name: str) ->
     return classes.select("left_key", "right_key")
 
 
+def _lacking(left: bool) -> Column:
+    """The cases in which a row is looked at in C and D; two rows of one case lack an author and a site between them.
+    Left lacks both in 0, the author in 1, the site in 2, right both in 3."""
+    no_author, no_site, here = F.col("author").isNull(), F.col("site").isNull(), F.lit(True)
+    both = no_author & no_site
+    needs = (both, no_author, no_site, here) if left else (here, no_site, no_author, both)
+    return F.explode(F.array_compact(F.array(*[F.when(n, F.lit(i)) for i, n in enumerate(needs)])))
+
+
+def _expand_salted(classes: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (key, class_d, case) of close classes of D. The side that lacks more is repeated under each salt, so that no title's
+    pairs are one task's."""
+    every, on = F.array(*[F.lit(i) for i in range(SALTS)]), ["case"]
+    for side, df, few in (("left", left, F.col("case") < 3), ("right", right, F.col("case") == 3)):
+        salts = F.when(few, every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")))
+        rows = df.select(F.col("class_d").alias(f"{side}_class"), F.col("key").alias(f"{side}_key"), "case", F.explode(salts).alias("salt"))
+        classes, on = classes.join(_grows(rows), [f"{side}_class", *on]), ["case", "salt"]
+    return classes.select("left_key", "right_key")
+
+
+def same_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_key and right_key of rows that lack an author and a site between them and whose titles are close."""
+    index, rows = [], []
+    for n, d in (("left", left), ("right", right)):
+        rows.append(d.select("key", "class_d", "main", "part", _lacking(n == "left").alias("case")))
+        titles = materialize(_index(d.select("class_d", "main", "part").distinct(), False), "match-index-d")
+        index.append(titles.join(_grows(rows[-1].select(F.col("class_d").alias("class"), "case").distinct()), "class"))
+    return _expand_salted(close_classes(*index, TITLE_WORDS, TITLE_RADIUS, ("case",)), *rows)
+
+
+def same_texts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_key and right_key of rows that lack an author and a site between them and whose texts may have TEXT_SAME of the smaller
+    one's items in common; none with it is lost."""
+    rows = [d.where(F.col("text_items").isNotNull()).select("key", "text_items", _lacking(n == "left").alias("case")) for n, d in (("left", left), ("right", right))]
+    held = rows[0].unionByName(rows[1]).select(F.explode("text_items").alias("item")).groupBy("item").count()
+    held = materialize(held, "match-text-items")
+    size = F.size("items")
+    least = size - F.ceil(size * TEXT_SAME - 1e-9).cast("int") + 1
+    sides = []
+    for n, d in zip(("left", "right"), rows):
+        each = d.select("*", F.explode("text_items").alias("item")).join(_grows(held), "item")
+        rare_first = F.transform(F.array_sort(F.collect_list(F.struct("count", "item"))), lambda x: x["item"])
+        each = materialize(each.groupBy("key", "case", "text_items").agg(rare_first.alias("items")).drop("text_items"), f"match-texts-{n}")
+        # Of the smaller text the rarest items are looked up among all of the other's.
+        rare, every = F.slice("items", F.lit(1), least), F.col("items")
+        ways = F.array(*[F.struct(F.lit(w).alias("smaller"), (rare if w == n else every).alias("items")) for w in ("left", "right")])
+        each = each.select(F.col("key").alias(f"{n}_key"), "case", size.alias(f"{n}_n"), F.explode(ways).alias("way"))
+        sides.append(each.select(f"{n}_key", "case", f"{n}_n", "way.smaller", F.explode("way.items").alias("item")))
+    found = sides[0].join(_grows(sides[1]), ["item", "case", "smaller"])
+    return found.where(F.when(F.col("smaller") == "left", F.col("left_n") <= F.col("right_n")).otherwise(F.col("right_n") <= F.col("left_n"))).select("left_key", "right_key")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key and right_key of all rows that A, B or C bring together."""
+    """left_key and right_key of all rows that A, B, C or D bring together."""
     named = [_index(d.where(F.col("class_a").isNotNull()).select("class_a", "main", "part", "last", "initial").distinct(), True) for d in (left, right)]
     named = [materialize(d, "match-index-a") for d in named]
     out = _expand(close_classes(*named, BOTH_WORDS, BOTH_RADIUS), left, right, "class_a")
@@ -287,14 +342,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         pair = (part, index[1]) if lacks_left else (index[0], part)
         rows = (few, many) if lacks_left else (many, few)
         out = out.unionByName(_expand(close_classes(*pair, TITLE_WORDS, TITLE_RADIUS), *rows, "class_b"))
-
-    texts = [
-        d.select(F.col("key").alias(f"{n}_key"), nameless.alias(f"{n}_a"), F.col("site").isNull().alias(f"{n}_s"), F.explode("text_keys").alias("text_key"))
-        for n, d in (("left", left), ("right", right))
-    ]
-    for n_left, n_right in (("left_a", "left_s"), ("left_a", "right_s"), ("right_a", "left_s"), ("right_a", "right_s")):
-        sides = [t.where(" AND ".join(c for c in {n_left, n_right} if c.startswith(n)) or "true") for n, t in zip(("left", "right"), texts)]
-        out = out.unionByName(sides[0].join(_grows(sides[1]), "text_key").select("left_key", "right_key"))
+    out = out.unionByName(same_titles(left, right)).unionByName(same_texts(left, right))
     return out.distinct()
 
 

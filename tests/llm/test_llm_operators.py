@@ -90,6 +90,26 @@ def test_matches_on_a_small_fixture(spark):
     assert matching.match_entities(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_pairs_without_author_and_site_are_found_by_title(spark):
+    cols = "key long, title string, author string, site string, text string, year int, tags array<string>, size double"
+    left = [(1, "The Quarry at Sarorrin, Part IV", "Anonymous", "s1", None, 2020, ["x"], 3000.0), (2, "A Beacon for Belanford", "Mira Toranby", "s1", None, 2020, ["x"], 900.0), (3, "Tidal Almanac", None, None, "b " * 9, 2020, ["x"], 900.0)]
+    right = [(11, "The Quarry at Sarorrin 04", "Bram Melurfell", None, "some other text of its own", 2020, ["x"], 3000.0), (12, "a beacon for belanfrod", None, None, None, 2020, ["x"], 900.0), (13, "TIDAL ALMANAC", "Nils Doran", "s2", "one more text", 2020, ["x"], 900.0)]
+    frames = [matching.encode(spark.createDataFrame(x, cols)) for x in (left, right)]
+    assert {tuple(r) for r in matching.candidate_pairs(*frames).collect()} == {(1, 11), (2, 12), (3, 13)}
+
+
+def test_no_texts_with_the_overlap_are_missed(spark):
+    rng = random.Random(2)
+    cols = "key long, title string, author string, site string, text string, year int, tags array<string>, size double"
+    stock = [" ".join(rng.choices("abcdefgh", k=6)) for _ in range(6)]
+    rows = [[(k, "a tale", None, None, " ".join(rng.choices(stock, k=rng.choice([1, 2, 3, 6]))), None, None, None) for k in range(60)] for _ in range(2)]
+    frames = [matching.encode(spark.createDataFrame(x, cols)) for x in rows]
+    items = [{r.key: set(r.text_items) for r in f.collect() if r.text_items} for f in frames]
+    want = {(a, b) for a, x in items[0].items() for b, y in items[1].items() if len(x & y) >= matching.TEXT_SAME * min(len(x), len(y))}
+    got = {tuple(r) for r in matching.same_texts(*frames).collect()}
+    assert len(want) > 100 and not want - got
+
+
 def test_isotonic():
     p = matching.isotonic(np.arange(4), np.array([0.0, 5, 3, 10]), np.array([10.0, 10, 10, 10]))
     assert (np.diff(p) >= 0).all() and p[0] < 0.1 < 0.9 < p[3] and p[1] == p[2]
