@@ -19,7 +19,8 @@ What is compared (always within one part number of a serial):
 A stock title that many authors use is thus a bucket of its own only where nothing else is known; there its rows are salted.
 The search runs over classes of rows that are equal in what is compared; only close classes are expanded into rows.
 
-Defined results: rows with a null key or without a title have no pair; parts of serials match only under the same number;
+Defined results: rows with a null key or without a title have no pair; parts of serials match only under the same number
+or side word, which may be misspelt by one edit;
 placeholders (anonymous, unknown) count as missing; missing fields have no weight; repeated rows match each for itself.
 """
 
@@ -56,6 +57,10 @@ LEAST_TITLE = 0.5
 # Remarks behind a title, parts that are works of their own, and placeholders for authors.
 _REMARK = re.compile(r"\s*\*+[^*]{1,20}\*+\s*$|[\s\-–—(\[]*\b(?:complete|completed|edited|updated|revised|repost|reposted|final|finished)\b[\s)\]]*$")
 _SIDE = re.compile(r"[\s\-–—:,(]*\b(prologue|epilogue|side stor(?:y|ies)|interlude|sequel)\)?\s*$")
+# The same words misspelt: one to three words at the end, within one edit of a side word; other words that are as near stay titles.
+_SIDE_WORDS = ("prologue", "epilogue", "side story", "side stories", "interlude", "sequel")
+_ENDINGS = [re.compile(r"[\s\-–—:,(]*\b([^\W\d_]+(?:[ -][^\W\d_]+){%d})\)?\s*$" % n) for n in range(3)]
+_NOT_SIDE = re.compile(r"(?:aside|bide|hide|ride|sire|site|size|slide|snide|tide|wide) stor(?:y|ies)|side store")
 _NUMBER = re.compile(
     r"[\s,\-–—:]*(?:(?:\b(?:pt|part|ch|chap|chapter|vol|volume|book|no|nr|teil|partie|parte)\b[\s.]*[#(]?|[#(])\s*(\d{1,4}|[ivx]{1,5})\)?|(?<=[\s,\-–—:])(\d{1,4}))\s*$"
 )
@@ -77,6 +82,25 @@ def _roman(s: str) -> int | None:
     return total if 0 < total < 40 else None
 
 
+def within_one_edit(a: str, b: str) -> bool:
+    """Whether at most one letter is put in, left out or changed, or two neighbours are swapped."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[i:], b[i:]
+    return a[1:] == b[1:] or a[1:] == b or a == b[1:] or (a[2:] == b[2:] and a[:2] == b[1::-1])
+
+
+def _misspelt_side(t: str) -> tuple[str, int] | None:
+    """The side word that a title's end nearly spells, and where it starts."""
+    for ending in _ENDINGS:
+        if (m := ending.search(t)) and m.start() > 0 and not _NOT_SIDE.fullmatch(m[1]):
+            for w in _SIDE_WORDS:
+                if within_one_edit(m[1], w):
+                    return w, m.start()
+    return None
+
+
 def title_key(title: str | None) -> tuple[str, str, str]:
     """(main title as bare letters and digits, subtitle likewise, part): 'The X: A Tale (Complete), Part IV' -> ('x', 'atale', '4')."""
     t = " ".join(fold(title).replace("_", " ").replace("&", " and ").split())
@@ -85,6 +109,8 @@ def title_key(title: str | None) -> tuple[str, str, str]:
     part = ""
     if (m := _SIDE.search(t)) and m.start() > 0:
         part, t = m[1][:4], t[: m.start()]
+    elif side := _misspelt_side(t):
+        part, t = side[0][:4], t[: side[1]]
     elif (m := _NUMBER.search(t)) and m.start() > 0:
         number = m[1] or m[2]
         n = int(number) if number.isdigit() else _roman(number)

@@ -61,6 +61,17 @@ def test_title_key(text, want):
     assert matching.title_key(text) == want
 
 
+def test_misspelt_side_words_are_parts():
+    for word in ("Prologue", "Epilogue", "Side Story", "Side Stories", "Interlude", "Sequel"):
+        want = matching.title_key(f"A Whistle - {word}")
+        assert want == ("whistle", "", word[:4].lower())
+        for i in range(len(word)):
+            for near in (word[:i] + word[i + 1 :], word[:i] + "k" + word[i:], word[:i] + "k" + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i] + word[i + 2 :]):
+                assert matching.title_key(f"A Whistle - {near}") == want, near
+    for title in ("The Harbour Prequel", "A Whistle for the Wide Story", "The Inside Story of Oran", "Sequins", "A Sequel2"):
+        assert matching.title_key(title)[2] == "", title
+
+
 def test_index_keys_miss_nothing_within_the_radius():
     rng = random.Random(1)
     for _ in range(300):
