@@ -571,7 +571,7 @@ def chapter_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT book_key, lower(nfc_normalize(title)) AS folded FROM library_books WHERE strpos(title, 'ß') = 0""")
 def unicode_fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "library_books").where("instr(title, 'ß') = 0").select("book_key", S.nfc_casefold(F.col("title")).alias("folded"))
+    return table(spark, d, "library_books").select("book_key", S.nfc_casefold(F.col("title")).alias("folded"))
 
 
 # ---- markup ----

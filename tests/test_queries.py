@@ -37,3 +37,10 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = Q["threshold_and"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,30.0)" in plan and "l_extendedprice" not in plan
+
+
+def test_unicode_fold_keeps_every_title(spark, tmp_path):
+    from folioworks.plans.library_queries import unicode_fold
+
+    spark.createDataFrame([(1, "Die Straße"), (2, None), (3, "ÉTÉ")], "book_key long, title string").write.parquet(f"{tmp_path}/library_books.parquet")
+    assert {(r.book_key, r.folded) for r in unicode_fold(spark, str(tmp_path)).collect()} == {(1, "die strasse"), (2, None), (3, "été")}
