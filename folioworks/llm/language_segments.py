@@ -124,7 +124,7 @@ class Profiles:
 
     def _word(self, word: str) -> int:
         at = self._words[word] = len(self._sizes) + len(self._new)
-        self._new.append([self.ids[g] for g in word_grams(word[:40]) if g in self.ids])
+        self._new.append([self.ids[g] for g in word_grams(word) if g in self.ids])
         return at
 
     def unit_distances(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,13 +160,16 @@ class Profiles:
         # unit and n-gram in one number; sorted, equal neighbours are counted.
         pairs = np.sort((np.repeat(unit, n) << 16) | table[at])
         edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        count = np.minimum(np.diff(np.append(edge, total)), 255)
+        count = np.diff(np.append(edge, total))
+        # Bits that the largest count takes, and numbers that hold the largest sum of distances.
+        top, bits = int(count.max()), int(count.max()).bit_length()
+        kind = np.int64 if total * self.worst >= 1 << 31 else np.int32
         pairs = pairs[edge]
         # Rank in the unit: by falling count, ties in the order of the table.
-        keys = np.sort(((pairs >> 16) << 24) | ((255 - count) << 16) | (pairs & 0xFFFF))
-        of, count, gram = keys >> 24, (255 - ((keys >> 16) & 0xFF)).astype(np.int32), keys & 0xFFFF
+        keys = np.sort(((pairs >> 16) << (16 + bits)) | ((top - count) << 16) | (pairs & 0xFFFF))
+        of, count, gram = keys >> (16 + bits), (top - ((keys >> 16) & ((1 << bits) - 1))).astype(kind), keys & 0xFFFF
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        rank = (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))).astype(np.int32)
+        rank = (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))).astype(kind)
         weight = np.add.reduceat(count, first) * float(self.worst)
         for k in range(len(LANGUAGES)):
             away = np.abs(self.ranks[k][gram] - rank)

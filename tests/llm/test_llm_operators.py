@@ -264,6 +264,19 @@ def test_segments(spark, sf):
         assert all(a.seg_lang != b.seg_lang for a, b in zip(own, own[1:])) and (len(own) == 1 or all(r.seg_words >= 12 for r in own))
 
 
+def test_distances_use_whole_words_and_counts():
+    lang = list(language.LANGUAGES)
+    counts = {lang[0]: Counter(language.word_grams("dedede")), lang[1]: Counter(language.word_grams("quququ")), lang[2]: Counter(language.word_grams("x"))}
+    profiles = language.Profiles(counts)
+    units = [["de" * 20 + "qu" * 30], ["x"] * 900 + ["de"] * 300, ["qu", "de"]]
+    for unit, got in zip(units, profiles.distances(units)):
+        own = Counter(profiles.ids[g] for w in unit for g in language.word_grams(w) if g in profiles.ids)
+        ranked = sorted(own, key=lambda g: (-own[g], g))
+        for k in range(len(lang)):
+            away = sum(own[g] * min(abs(int(profiles.ranks[k][g]) - r), profiles.worst) for r, g in enumerate(ranked))
+            assert got[k] == pytest.approx(away / (sum(own.values()) * profiles.worst))
+
+
 def test_held_out_accuracy(spark, sf):
     """Profiles of half the evaluation items name the language of the other half, whole and in mixed texts."""
     items = [(r.item_lang, r.text) for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()]
