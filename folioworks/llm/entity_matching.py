@@ -4,20 +4,18 @@ Attributes become fixed bit vectors of hashed q-grams. Close pairs are found exa
 a field-weighted mean of Dice values, and the score is turned into a confidence by isotonic calibration against a field
 that the score does not use (the texts).
 
-Multi-index Hamming hashing: a vector is cut into chunks. Two vectors within the radius differ by at most radius // chunks = 1
-bit in some chunk, and sets that differ by one bit share that chunk as it is or with one bit taken out, so these variants
-are the index keys. A variant of at most one bit says too little to be a key by itself; the other chunks then hold at most
-the radius, so one of them differs by at most two bits, and the key is joined with that chunk's variants of up to two
-bits taken out. Nothing within the radius is lost, and no bucket collects what is merely short.
+Multi-index Hamming hashing: each 64-bit word of a vector is a chunk. Two vectors within the radius differ in at most as many
+chunks as the radius has bits, so the others, at least words - radius of them, are equal. The chunks are dealt into so few
+groups that one group must hold KEY_CHUNKS equal ones; the index keys are all subsets of that size within a group. Nothing
+within the radius is lost. Each key travels with the vector folded to 64 bits by exclusive or; folding never lengthens a distance,
+so pairs whose folds are further apart than the radius are dropped inside the join, before any vector is looked at.
 
 What is compared (always within one part number of a serial):
   A  title and author in one vector, where both rows name an author;
-  B  the title, within one site, where an author is missing on either side;
-  C  the texts, where an author and a site are missing in the pair: if the smaller set of word sequences shares TEXT_SAME
-     of its items, any subset that leaves out less than that share meets the other set, so its rarest items are the keys;
-  D  the title, whatever the site, for the same pairs as C.
-A stock title that many authors use is thus a bucket of its own only where nothing else is known; there its rows are salted.
-The search runs over classes of rows that are equal in what is compared; only close classes are expanded into rows.
+  B  the title, where an author is missing on either side and the sites are equal or one is missing.
+The search runs over classes of rows that are equal in what is compared, so copies cost nothing; close classes are then expanded
+into rows, the right rows of a large class in blocks of BLOCK_ROWS, so that no task holds all pairs of a stock title.
+Keys of chunks that hold hardly any bit are many; they are salted.
 
 Defined results: rows with a null key or without a title have no pair; parts of serials match only under the same number
 or side word, which may be misspelt by one edit;
@@ -38,21 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.session import materialize
+from folioworks.session import discard, materialize
 
-TITLE_WORDS, AUTHOR_WORDS, TEXT_WORDS, TAG_WORDS = 8, 4, 8, 2  # 64-bit words of the vectors
-#: Vectors that are searched: words, chunks and radius for title with author, and for the title alone.
-BOTH_WORDS, BOTH_CHUNKS, BOTH_RADIUS = 12, 5, 9
-TITLE_CHUNKS, TITLE_RADIUS = 4, 7
-#: Shares that the rows of a title class are cut into in D.
-SALTS = 8
+TITLE_WORDS, AUTHOR_WORDS, TEXT_WORDS, TAG_WORDS = 12, 6, 8, 2  # 64-bit words of the vectors
+#: Radius and chunks of a key for title with author, and for the title alone.
+BOTH_RADIUS, BOTH_KEY_CHUNKS = 9, 3
+TITLE_RADIUS, TITLE_KEY_CHUNKS = 7, 2
+#: Keys with fewer bits are salted; rows of the right side that one task expands a class into.
+SALTED_BELOW, SALTS = 2, 8
+BLOCK_ROWS = 1000
 #: Weights of the fields in the score; texts are kept for calibration.
 WEIGHTS = {"title": 3.0, "author": 4.0, "site": 4.0, "year": 1.0, "tags": 1.0, "length": 1.0}
-#: Overlap of texts from which two texts are the same, and how much more often that is so for the same work than else.
-TEXT_SAME, TEXT_ODDS = 0.6, 200.0
-CONFIDENT = 0.5
-#: Pairs whose titles are less alike than this (Dice) are dropped: texts alone, often a stock sentence, name no work.
-LEAST_TITLE = 0.5
+#: Overlap of texts from which two texts are the same.
+TEXT_SAME = 0.6
+#: What is taken as the same work: the least confidence, and the least Dice value of the titles (a pair may agree in all but the title).
+CONFIDENT, LEAST_TITLE = 0.5, 0.5
 
 # Remarks behind a title, parts that are works of their own, and placeholders for authors.
 _REMARK = re.compile(r"\s*\*+[^*]{1,20}\*+\s*$|[\s\-–—(\[]*\b(?:complete|completed|edited|updated|revised|repost|reposted|final|finished)\b[\s)\]]*$")
@@ -66,11 +64,15 @@ _NUMBER = re.compile(
 )
 _ROMAN = {"i": 1, "v": 5, "x": 10}
 PLACEHOLDERS = frozenset(["", "anonymous", "anon", "unknown", "n/a", "na", "none", "null", "-", "--", "?", "author"])
-_NO_ALNUM = re.compile(r"[^\w]|_")
+_NO_ALNUM = re.compile(r"[^\w\s]|_")
+_TAG = re.compile(r"<[^>]*>")
 
 
 def fold(text: str | None) -> str:
-    t = unicodedata.normalize("NFKD", html.unescape(text or "")).casefold()
+    text = text or ""
+    if text.isascii() and "&" not in text:
+        return text.lower()
+    t = unicodedata.normalize("NFKD", html.unescape(text)).casefold()
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
@@ -96,7 +98,8 @@ def _misspelt_side(t: str) -> tuple[str, int] | None:
     for ending in _ENDINGS:
         if (m := ending.search(t)) and m.start() > 0 and not _NOT_SIDE.fullmatch(m[1]):
             for w in _SIDE_WORDS:
-                if within_one_edit(m[1], w):
+                # One edit leaves the first or the last letter as it is.
+                if abs(len(m[1]) - len(w)) < 2 and (m[1][0] == w[0] or m[1][-1] == w[-1]) and within_one_edit(m[1], w):
                     return w, m.start()
     return None
 
@@ -119,7 +122,7 @@ def title_key(title: str | None) -> tuple[str, str, str]:
     t = re.sub(r"[,\s]+(?:the|a|an)\s*$", "", t)
     t = re.sub(r"^\s*(?:the|a|an)\s+", "", t)
     main, _, sub = t.partition(":")
-    main, sub = _NO_ALNUM.sub("", main), _NO_ALNUM.sub("", sub)
+    main, sub = ("".join(_NO_ALNUM.sub("", x).split()) for x in (main, sub))
     return (main, sub, part) if main else (sub, "", part)
 
 
@@ -140,8 +143,21 @@ def grams(s: str) -> set[str]:
     return {s[i : i + 2] for i in range(len(s) - 1)}
 
 
+_HASHES: dict[str, int] = {}
+
+
+def _hash(item: str) -> int:
+    """The same number in every process; what was hashed is remembered, within bounds."""
+    h = _HASHES.get(item)
+    if h is None:
+        if len(_HASHES) > 200_000:
+            _HASHES.clear()
+        h = _HASHES[item] = zlib.crc32(item.encode())
+    return h
+
+
 def places(items: set[str], words: int) -> list[int]:
-    return sorted({zlib.crc32(g.encode()) % (64 * words) for g in items})
+    return sorted({_hash(g) % (64 * words) for g in items})
 
 
 def packed(at: list[int], words: int) -> list[int]:
@@ -156,37 +172,11 @@ def _key(*parts: object) -> int:
     return (zlib.crc32(text) << 31) ^ zlib.crc32(b"folioworks" + text)
 
 
-def index_keys(at: list[int], words: int, chunks: int, radius: int, scope: object) -> set[int]:
-    """Index keys such that two vectors within the radius share at least one; see the module's text."""
-    # Hashes of whole numbers are the same in every Python process; the scope is made a number first.
-    scope, width = _key(scope), 64 * words / chunks
-    cut: list[list[int]] = [[] for _ in range(chunks)]
-    for i in at:
-        cut[int(i / width)].append(i)
-    away = radius // chunks
-    keys = set()
-    for c, own in enumerate(cut):
-        for gone in range(min(away, len(own)) + 1):
-            for v in combinations(own, len(own) - gone):
-                if len(v) > 1:
-                    keys.add(hash((scope, c, v)))
-                    continue
-                more = -(-(radius + 1) // (chunks - 1)) - 1
-                for d, other in enumerate(cut):
-                    if d != c:
-                        for lost in range(min(more, len(other)) + 1):
-                            for w in combinations(other, len(other) - lost):
-                                keys.add(hash((scope, c, v, d, w)))
-    return keys
-
-
-def both_places(main: str, author: tuple[str, str]) -> list[int]:
-    return places({"t" + g for g in grams(main)} | {"a" + g for g in grams(author[0])} | {"initial " + author[1]}, BOTH_WORDS)
-
-
-def _text_items(text: str | None) -> set[str]:
-    w = [x for x in (_NO_ALNUM.sub("", p) for p in fold(re.sub(r"<[^>]*>", " ", text or "")).split()) if x]
-    return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or ({" ".join(w)} if len(w) > 1 else set())
+def _text_items(text: str | None) -> set[int]:
+    """Numbers of the text's sequences of three words; of all its words, where there are only two."""
+    text = text or ""
+    w = [_hash(x) for x in _NO_ALNUM.sub("", fold(_TAG.sub(" ", text) if "<" in text else text)).split()]
+    return {(x * 31 + y) * 31 + z for x, y, z in zip(w, w[1:], w[2:])} or ({w[0] * 31 + w[1]} if len(w) > 1 else set())
 
 
 def _number(text: object) -> float | None:
@@ -196,7 +186,7 @@ def _number(text: object) -> float | None:
 
 def encode(df: DataFrame) -> DataFrame:
     """Vectors and facts of rows (key, title, author, site, text, year, tags array, size). The size is in any unit."""
-    fields = "key long, main string, part string, last string, initial string, class_a long, class_b long, class_d long, title array<long>, sub array<long>, author array<long>, text array<long>, text_items array<long>, tags array<long>, site string, year int, size double"
+    fields = "key long, class_a long, class_b long, title array<long>, sub array<long>, author array<long>, text array<long>, tags array<long>, part long, site string, year int, size double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in fields.split(", ")]
@@ -214,20 +204,15 @@ def encode(df: DataFrame) -> DataFrame:
                 rows.append(
                     (
                         key,
-                        main,
-                        part,
-                        a[0] if a else None,
-                        a[1] if a else None,
                         _key(main, part, a) if a else None,
-                        _key(main, part, site) if site else None,
                         _key(main, part),
                         packed(places(grams(main), TITLE_WORDS), TITLE_WORDS),
                         packed(places(grams(sub), TITLE_WORDS), TITLE_WORDS) if sub else None,
                         packed(places(grams(a[0]) | {"initial " + a[1]}, AUTHOR_WORDS), AUTHOR_WORDS) if a else None,
-                        packed(places(items, TEXT_WORDS), TEXT_WORDS) if items else None,
-                        sorted({_key(part, i) for i in items}) if items else None,
+                        packed(sorted({x % (64 * TEXT_WORDS) for x in items}), TEXT_WORDS) if items else None,
                         packed(places(tagged, TAG_WORDS), TAG_WORDS) if tagged else None,
-                        site,
+                        _key(part),
+                        site or None,
                         year,
                         _number(size),
                     )
@@ -238,28 +223,6 @@ def encode(df: DataFrame) -> DataFrame:
     return df.select("key", "title", "author", "site", "text", F.col("year").cast("int"), "tags", F.col("size").cast("string")).mapInArrow(run, fields)
 
 
-def _index(classes: DataFrame, both: bool) -> DataFrame:
-    """(class, index_key, vector) of classes (class, main, part, last, initial), (class, main, part, site) or (class, main, part)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, keys, vectors = [], [], []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if both:
-                    at, words, own = both_places(row[1], row[3:5]), BOTH_WORDS, ("A", row[2])
-                    found = index_keys(at, words, BOTH_CHUNKS, BOTH_RADIUS, own)
-                else:
-                    at, words, own = places(grams(row[1]), TITLE_WORDS), TITLE_WORDS, ("B", *row[2:4])
-                    found = index_keys(at, words, TITLE_CHUNKS, TITLE_RADIUS, own)
-                ids.append(row[0])
-                keys.append(sorted(found))
-                vectors.append(packed(at, words))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, kind), pa.array(vectors, kind)], names=["class", "index_keys", "vector"])
-
-    return classes.mapInArrow(run, "class long, index_keys array<long>, vector array<long>")
-
-
 def _bits(a: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i]) for i in range(1, words)), F.bit_count(F.col(a)[0]))
 
@@ -281,102 +244,89 @@ def _grows(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def close_classes(left: DataFrame, right: DataFrame, words: int, radius: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of classes (class, index_keys, vector) whose vectors are within the radius and which are alike in ``within``: left_class, right_class."""
-    keyed = [d.select(F.col("class").alias(f"{n}_class"), *within, F.explode("index_keys").alias("index_key")) for n, d in (("left", left), ("right", right))]
-    pairs = keyed[0].join(_grows(keyed[1]), ["index_key", *within]).select("left_class", "right_class", *within).distinct()
-    for n, d in (("left", left), ("right", right)):
-        pairs = pairs.join(_grows(d.select(F.col("class").alias(f"{n}_class"), *within, F.col("vector").alias(n))), [f"{n}_class", *within])
-    apart = _bits("left", words) + _bits("right", words) - 2 * _common("left", "right", words)
-    return pairs.where(apart <= radius).select("left_class", "right_class", *within)
+def key_subsets(words: int, radius: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of ``size`` chunks such that two vectors within the radius agree in all chunks of at least one set.
 
+    At least words - radius chunks are equal. Dealt into fewer than (words - radius) / (size - 1) groups, some group has ``size`` of them.
+    """
+    equal = words - radius
+    groups = (equal - 1) // (size - 1) if size > 1 else words
+    if groups < 1:
+        raise ValueError("too few chunks for this radius")
+    return [s for g in range(groups) for s in combinations(range(g, words, groups), size)]
 
-def _expand(classes: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-    """Rows of close classes: left_key, right_key."""
-    for side, df in (("left", left), ("right", right)):
-        classes = classes.join(_grows(df.where(F.col(name).isNotNull()).select(F.col(name).alias(f"{side}_class"), F.col("key").alias(f"{side}_key"))), f"{side}_class")
-    return classes.select("left_key", "right_key")
 
+def close_classes(left: DataFrame, right: DataFrame, words: int, radius: int, size: int, wanted: Column | None = None) -> DataFrame:
+    """Pairs of unequal classes (class, scope, vector, and what ``wanted`` needs) whose vectors are within the radius, and some a little
+    further apart: left_class, right_class, each pair once. ``wanted`` is a condition on the columns left_flag and right_flag."""
+    subsets = F.array(*[F.array(*[F.lit(i) for i in s]) for s in key_subsets(words, radius, size)])
+    sides = []
+    for n, d in (("left", left), ("right", right)):
+        # Keys of few bits: the left side is cut by class, the right side stands under every salt.
+        own = F.array(F.pmod("class", F.lit(SALTS))) if n == "left" else F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
 
-def _lacking(left: bool) -> Column:
-    """The cases in which a row is looked at in C and D; two rows of one case lack an author and a site between them.
-    Left lacks both in 0, the author in 1, the site in 2, right both in 3."""
-    no_author, no_site, here = F.col("author").isNull(), F.col("site").isNull(), F.lit(True)
-    both = no_author & no_site
-    needs = (both, no_author, no_site, here) if left else (here, no_site, no_author, both)
-    return F.explode(F.array_compact(F.array(*[F.when(n, F.lit(i)) for i, n in enumerate(needs)])))
+        def keys(s: Column) -> Column:
+            held = [F.get("vector", s[k]) for k in range(size)]
+            bits = sum((F.bit_count(h) for h in held[1:]), F.bit_count(held[0]))
+            salts = F.when(bits < SALTED_BELOW, own).otherwise(F.array(F.lit(0).cast("bigint")))
+            return F.transform(salts, lambda salt: F.xxhash64("scope", salt, *[s[k] for k in range(size)], *held))
 
+        fold = F.aggregate("vector", F.lit(0).cast("bigint"), lambda x, w: x.bitwiseXOR(w))
+        flag = [F.col("flag").alias(f"{n}_flag")] if wanted is not None else []
+        sides.append(d.select(F.col("class").alias(f"{n}_class"), fold.alias(f"{n}_fold"), *flag, F.explode(F.flatten(F.transform(subsets, keys))).alias("index_key")))
+    pairs = sides[0].join(_grows(sides[1]), "index_key")
+    near = (F.bit_count(F.col("left_fold").bitwiseXOR(F.col("right_fold"))) <= radius) & (F.col("left_class") != F.col("right_class"))
+    return pairs.where(near if wanted is None else near & wanted).select("left_class", "right_class").distinct()
 
-def _expand_salted(classes: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (key, class_d, case) of close classes of D. The side that lacks more is repeated under each salt, so that no title's
-    pairs are one task's."""
-    every, on = F.array(*[F.lit(i) for i in range(SALTS)]), ["case"]
-    for side, df, few in (("left", left, F.col("case") < 3), ("right", right, F.col("case") == 3)):
-        salts = F.when(few, every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")))
-        rows = df.select(F.col("class_d").alias(f"{side}_class"), F.col("key").alias(f"{side}_key"), "case", F.explode(salts).alias("salt"))
-        classes, on = classes.join(_grows(rows), [f"{side}_class", *on]), ["case", "salt"]
-    return classes.select("left_key", "right_key")
 
+def _expand(pairs: DataFrame, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of close classes, and of equal ones: left_key, right_key. Sides are (class, key, and ``on``).
 
-def same_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key and right_key of rows that lack an author and a site between them and whose titles are close."""
-    index, rows = [], []
-    for n, d in (("left", left), ("right", right)):
-        rows.append(d.select("key", "class_d", "main", "part", _lacking(n == "left").alias("case")))
-        titles = materialize(_index(d.select("class_d", "main", "part").distinct(), False), "match-index-d")
-        index.append(titles.join(_grows(rows[-1].select(F.col("class_d").alias("class"), "case").distinct()), "class"))
-    return _expand_salted(close_classes(*index, TITLE_WORDS, TITLE_RADIUS, ("case",)), *rows)
-
-
-def same_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key and right_key of rows that lack an author and a site between them and whose texts may have TEXT_SAME of the smaller
-    one's items in common; none with it is lost."""
-    rows = [d.where(F.col("text_items").isNotNull()).select("key", "text_items", _lacking(n == "left").alias("case")) for n, d in (("left", left), ("right", right))]
-    held = rows[0].unionByName(rows[1]).select(F.explode("text_items").alias("item")).groupBy("item").count()
-    held = materialize(held, "match-text-items")
-    size = F.size("items")
-    least = size - F.ceil(size * TEXT_SAME - 1e-9).cast("int") + 1
-    sides = []
-    for n, d in zip(("left", "right"), rows):
-        each = d.select("*", F.explode("text_items").alias("item")).join(_grows(held), "item")
-        rare_first = F.transform(F.array_sort(F.collect_list(F.struct("count", "item"))), lambda x: x["item"])
-        each = materialize(each.groupBy("key", "case", "text_items").agg(rare_first.alias("items")).drop("text_items"), f"match-texts-{n}")
-        # Of the smaller text the rarest items are looked up among all of the other's.
-        rare, every = F.slice("items", F.lit(1), least), F.col("items")
-        ways = F.array(*[F.struct(F.lit(w).alias("smaller"), (rare if w == n else every).alias("items")) for w in ("left", "right")])
-        each = each.select(F.col("key").alias(f"{n}_key"), "case", size.alias(f"{n}_n"), F.explode(ways).alias("way"))
-        sides.append(each.select(f"{n}_key", "case", f"{n}_n", "way.smaller", F.explode("way.items").alias("item")))
-    found = sides[0].join(_grows(sides[1]), ["item", "case", "smaller"])
-    return found.where(F.when(F.col("smaller") == "left", F.col("left_n") <= F.col("right_n")).otherwise(F.col("right_n") <= F.col("left_n"))).select("left_key", "right_key")
+    Every left row meets a class of the right in blocks of rows, so a class that holds a third of all rows is many tasks' work.
+    """
+    equal = left.select(F.col("class").alias("left_class"), F.col("class").alias("right_class")).distinct()
+    sizes = right.groupBy(F.col("class").alias("right_class")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK_ROWS)
+    sizes = sizes.select("right_class", F.ceil(F.col("__n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    pairs = pairs.unionByName(equal).join(_grows(sizes), "right_class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = pairs.join(_grows(left.select(F.col("class").alias("left_class"), F.col("key").alias("left_key"), *on)), "left_class")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = right.select(F.col("class").alias("right_class"), F.col("key").alias("right_key"), *on).join(_grows(sizes), "right_class", "left")
+    other = other.withColumn("block", F.pmod(F.xxhash64("right_key"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    return rows.join(_grows(other), ["right_class", "block", *on]).select("left_key", "right_key")
+
+
+def _tokens(rows: DataFrame, left: bool) -> DataFrame:
+    """(class, key, case, place) such that a left and a right row share one case and place just where an author is missing on either
+    side, and the sites are equal or one is missing. Case 1: left lacks the author. Case 2: right only."""
+    lacks, site = F.col("author").isNull(), F.col("site")
+    cases = F.when(lacks, F.array(F.lit(1))).otherwise(F.array(F.lit(2))) if left else F.when(lacks, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    named = F.concat(F.lit("="), site)
+    if left:
+        places = F.when(site.isNull(), F.array(F.lit("left without"))).otherwise(F.array(named, F.lit("right without")))
+    else:
+        places = F.when(site.isNull(), F.array(F.lit("right without"), F.lit("left without"))).otherwise(F.array(named, F.lit("left without")))
+    return rows.select(F.col("class_b").alias("class"), "key", F.explode(cases).alias("case"), places.alias("p")).select("class", "key", "case", F.explode("p").alias("place"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key and right_key of all rows that A, B, C or D bring together."""
-    named = [_index(d.where(F.col("class_a").isNotNull()).select("class_a", "main", "part", "last", "initial").distinct(), True) for d in (left, right)]
-    named = [materialize(d, "match-index-a") for d in named]
-    out = _expand(close_classes(*named, BOTH_WORDS, BOTH_RADIUS), left, right, "class_a")
-
-    nameless = F.col("author").isNull()
-    sited = [d.where(F.col("class_b").isNotNull()) for d in (left, right)]
-    index = [materialize(_index(d.select("class_b", "main", "part", "site").distinct(), False), "match-index-b") for d in sited]
-    for lacks_left in (True, False):
-        # One side is the rows without an author, the other all rows; pairs that lack both are found once.
-        few = sited[0 if lacks_left else 1].where(nameless)
-        own = few.select(F.col("class_b").alias("class")).distinct()
-        part = index[0 if lacks_left else 1].join(_grows(own), "class", "left_semi")
-        many = sited[1] if lacks_left else sited[0].where(~nameless)
-        pair = (part, index[1]) if lacks_left else (index[0], part)
-        rows = (few, many) if lacks_left else (many, few)
-        out = out.unionByName(_expand(close_classes(*pair, TITLE_WORDS, TITLE_RADIUS), *rows, "class_b"))
-    out = out.unionByName(same_titles(left, right)).unionByName(same_texts(left, right))
-    return out.distinct()
+    """left_key and right_key of all rows that A or B bring together, each pair once: A has an author on both sides, B has not."""
+    both = [d.where(F.col("author").isNotNull()).select(F.col("class_a").alias("class"), "key", F.col("part").alias("scope"), F.concat("title", "author").alias("vector")) for d in (left, right)]
+    classes = [d.groupBy("class").agg(F.any_value("scope").alias("scope"), F.any_value("vector").alias("vector")) for d in both]
+    out = _expand(close_classes(*classes, TITLE_WORDS + AUTHOR_WORDS, BOTH_RADIUS, BOTH_KEY_CHUNKS), *both, [])
+
+    titles = [d.groupBy(F.col("class_b").alias("class")).agg(F.any_value("part").alias("scope"), F.any_value("title").alias("vector"), F.bool_or(F.col("author").isNull()).alias("flag")) for d in (left, right)]
+    near = close_classes(*titles, TITLE_WORDS, TITLE_RADIUS, TITLE_KEY_CHUNKS, F.col("left_flag") | F.col("right_flag"))
+    return out.unionByName(_expand(near, _tokens(left, True), _tokens(right, False), ["case", "place"]))
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Field values of each pair, the weighted score without the texts, and the texts' overlap (null where one is missing)."""
+    """Field values of each pair within the radius, the weighted score without the texts, and the texts' overlap (null where one is missing)."""
     facts = ["title", "sub", "author", "text", "tags", "site", "year", "size"]
     for side, df in (("left", left), ("right", right)):
         pairs = pairs.join(_grows(df.select(F.col("key").alias(f"{side}_key"), *[F.col(f).alias(f"{side}_{f}") for f in facts])), f"{side}_key")
+    apart = lambda f, words: _bits(f"left_{f}", words) + _bits(f"right_{f}", words) - 2 * _common(f"left_{f}", f"right_{f}", words)
+    together = apart("title", TITLE_WORDS) + apart("author", AUTHOR_WORDS)
+    pairs = pairs.where(F.when(together.isNotNull(), together <= BOTH_RADIUS).otherwise(apart("title", TITLE_WORDS) <= TITLE_RADIUS))
     both = lambda f: F.col(f"left_{f}").isNotNull() & F.col(f"right_{f}").isNotNull()
     title = _dice("left_title", "right_title", TITLE_WORDS)
     subtitle = F.when(both("sub"), _dice("left_sub", "right_sub", TITLE_WORDS))
@@ -410,8 +360,11 @@ def isotonic(scores: np.ndarray, hits: np.ndarray, totals: np.ndarray) -> np.nda
 
 
 def with_confidence(scored: DataFrame, bins: int = 200) -> DataFrame:
-    """Add ``confidence``: the share of pairs with this score whose texts are the same, then, where there are texts, their odds.
+    """Add ``confidence``: how likely a pair with this score, and with these texts, is one work.
 
+    The share of pairs with the same text rises with the score, from d among pairs that agree in nothing to e among the best ones: texts of
+    different works are the same with probability d, those of one work with probability e. Between them the share tells how
+    many pairs are one work; a pair's own texts then move that by Bayes' rule. Both ends are pools of the isotonic fit.
     Only ``bins`` counts reach the driver. Without any pair that has two texts the score itself is the confidence.
     """
     binned = F.floor(F.col("score") * bins).cast("int")
@@ -421,8 +374,13 @@ def with_confidence(scored: DataFrame, bins: int = 200) -> DataFrame:
     b = np.array([r[0] for r in rows])
     share = isotonic(b, np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float))
     table = np.interp(np.arange(bins + 1), b, share)
-    base = F.get(F.array(*[F.lit(float(x)) for x in table]), binned)
-    odds = base / (1 - base) * F.when(F.col("text").isNull(), 1.0).when(F.col("text") >= TEXT_SAME, TEXT_ODDS).otherwise(1 / TEXT_ODDS)
+    d, e = float(table.min()), float(table.max())
+    if e - d < 1e-6:
+        d, e = 0.0, 1.0
+    prior = np.clip((table - d) / (e - d), 1e-4, 1 - 1e-4)
+    base = F.get(F.array(*[F.lit(float(x)) for x in prior / (1 - prior)]), binned)
+    d, e = max(d, 1e-4), min(e, 1 - 1e-4)
+    odds = base * F.when(F.col("text").isNull(), 1.0).when(F.col("text") >= TEXT_SAME, e / d).otherwise((1 - e) / (1 - d))
     return scored.withColumn("confidence", odds / (1 + odds))
 
 
@@ -430,5 +388,6 @@ def match_entities(left_rows: DataFrame, right_rows: DataFrame) -> DataFrame:
     """All candidate pairs: left_key, right_key, the field values, score and confidence."""
     left = materialize(encode(left_rows), "match-left")
     right = materialize(encode(right_rows), "match-right")
-    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right)).where(F.col("title") >= LEAST_TITLE), "match-scored")
+    scored = materialize(scored_pairs(left, right, candidate_pairs(left, right)), "match-scored")
+    discard(left, right)
     return with_confidence(scored)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.llm.container_packing import container_fill, pack_documents, tokenizer_path
-from folioworks.llm.entity_matching import CONFIDENT, match_entities
+from folioworks.llm.entity_matching import CONFIDENT, LEAST_TITLE, match_entities
 from folioworks.llm.eval_leakage import clean_documents, leaked_passages
 from folioworks.llm.language_segments import labelled_sample, language_segments, train_profiles
 from folioworks.llm.term_frequency import canonical_terms, mark_terms, term_counts
@@ -45,7 +45,7 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pairs(spark, sf_dir).where(F.col("confidence") >= CONFIDENT).select("book_key", "meta_id")
+    return p5_pairs(spark, sf_dir).where((F.col("confidence") >= CONFIDENT) & (F.col("title") >= LEAST_TITLE)).select("book_key", "meta_id")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

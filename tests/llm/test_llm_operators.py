@@ -74,14 +74,46 @@ def test_misspelt_side_words_are_parts():
 
 def test_index_keys_miss_nothing_within_the_radius():
     rng = random.Random(1)
-    for _ in range(300):
-        a = set(rng.sample(range(512), rng.choice([2, 4, 8, 14, 25])))
-        b = set(a)
-        for _ in range(rng.randrange(8)):
-            b ^= {rng.randrange(512)}
-        if len(a ^ b) <= 7:
-            ka, kb = (matching.index_keys(sorted(x), 8, 4, 7, "s") for x in (a, b))
-            assert ka & kb
+    for words, radius, size in ((18, 9, 3), (12, 7, 2), (10, 9, 1)):
+        subsets = matching.key_subsets(words, radius, size)
+        for _ in range(500):
+            hit = {rng.randrange(words) for _ in range(radius)}
+            assert any(not hit & set(s) for s in subsets)
+
+
+def test_all_pairs_within_the_radius_are_found(spark, sf):
+    """Every pair of rows of the whole tables within the radius, by brute force over their vectors, is a candidate."""
+    seen = {}
+    spy = lambda left, right: seen.update(sides=[matching.encode(d).cache() for d in (left, right)])
+    old, Q.match_entities = Q.match_entities, spy
+    try:
+        with pytest.raises(AttributeError):
+            Q.p5_pairs(spark, sf)
+    finally:
+        Q.match_entities = old
+    rows = [d.collect() for d in seen["sides"]]
+    got = {tuple(r) for r in matching.candidate_pairs(*seen["sides"]).collect()}
+    bits = lambda rs, f, words: np.array([getattr(r, f) or [0] * words for r in rs], dtype=np.int64).view(np.uint64)
+    title, author = [bits(rs, "title", matching.TITLE_WORDS) for rs in rows], [bits(rs, "author", matching.AUTHOR_WORDS) for rs in rows]
+    want = set()
+    for i, x in enumerate(rows[0]):
+        t = np.bitwise_count(title[0][i] ^ title[1]).sum(axis=1)
+        both = t + np.bitwise_count(author[0][i] ^ author[1]).sum(axis=1)
+        for j in np.flatnonzero(t <= matching.BOTH_RADIUS):
+            y = rows[1][j]
+            if x.part == y.part and (both[j] <= matching.BOTH_RADIUS if x.author and y.author else t[j] <= matching.TITLE_RADIUS and (x.site == y.site or not x.site or not y.site)):
+                want.add((x.key, y.key))
+    assert len(want) > 50 and want <= got
+
+
+def test_a_hot_title_is_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 3)
+    cols = "key long, title string, author string, site string, text string, year int, tags array<string>, size double"
+    left = [(k, "Crossroads", "Mira Toranby" if k % 2 else None, "s1" if k % 3 else None, None, None, None, None) for k in range(20)]
+    right = [(100 + k, "crossroads!", "Mira Toranby" if k % 5 else None, "s1" if k % 2 else None, None, None, None, None) for k in range(20)]
+    got = [tuple(r) for r in matching.candidate_pairs(*[matching.encode(spark.createDataFrame(x, cols)) for x in (left, right)]).collect()]
+    want = {(a[0], b[0]) for a in left for b in right if (a[2] and b[2]) or a[3] == b[3] or not a[3] or not b[3]}
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_matches_on_a_small_fixture(spark):
@@ -109,18 +141,6 @@ def test_pairs_without_author_and_site_are_found_by_title(spark):
     assert {tuple(r) for r in matching.candidate_pairs(*frames).collect()} == {(1, 11), (2, 12), (3, 13)}
 
 
-def test_no_texts_with_the_overlap_are_missed(spark):
-    rng = random.Random(2)
-    cols = "key long, title string, author string, site string, text string, year int, tags array<string>, size double"
-    stock = [" ".join(rng.choices("abcdefgh", k=6)) for _ in range(6)]
-    rows = [[(k, "a tale", None, None, " ".join(rng.choices(stock, k=rng.choice([1, 2, 3, 6]))), None, None, None) for k in range(60)] for _ in range(2)]
-    frames = [matching.encode(spark.createDataFrame(x, cols)) for x in rows]
-    items = [{r.key: set(r.text_items) for r in f.collect() if r.text_items} for f in frames]
-    want = {(a, b) for a, x in items[0].items() for b, y in items[1].items() if len(x & y) >= matching.TEXT_SAME * min(len(x), len(y))}
-    got = {tuple(r) for r in matching.same_texts(*frames).collect()}
-    assert len(want) > 100 and not want - got
-
-
 def test_isotonic():
     p = matching.isotonic(np.arange(4), np.array([0.0, 5, 3, 10]), np.array([10.0, 10, 10, 10]))
     assert (np.diff(p) >= 0).all() and p[0] < 0.1 < 0.9 < p[3] and p[1] == p[2]
