@@ -35,8 +35,16 @@ def _entity_pattern() -> str:
     return r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(names) + ");"
 
 
-_DOUBLE = rf"{_ITEM_START}\"(?:[^\"\\]|\\.|\"\")*\"{_ITEM_END}"
-_SINGLE = rf"{_ITEM_START}'(?:[^'\\]|\\.|'')*'{_ITEM_END}"
+
+
+def _span(q: str) -> str:
+    """A quoted span. Possessive runs, so that the matcher neither recurses nor goes back, however long the span is; where reading doubled
+    quotes as one finds no end, the second form takes the first quote that ends an item."""
+    run = rf"[^{q}\\]*+"
+    return rf"{_ITEM_START}(?:{q}{run}(?:(?:\\.|{q}{q}){run})*+{q}{_ITEM_END}|{q}{run}(?:\\.{run})*+{q}{_ITEM_END})"
+
+
+_DOUBLE, _SINGLE = _span('"'), _span("'")
 _ESCAPED = r"\\[,;|/·•，、；｜\\\"'#]"
 PROTECTED = "(?s)(?:" + "|".join([_DOUBLE, _SINGLE, _ESCAPED, _entity_pattern(), f"[{OPEN}{CLOSE}{CUT}]"]) + ")"
 SPACED = rf"[{SPACED_SEPARATORS}](?<={_BLANK}.)(?={_BLANK})"

@@ -2,6 +2,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from folioworks.operators.packed_fields import explode_packed_values, with_packed_values
 
 CASES = [
@@ -54,3 +56,9 @@ def test_quoting_round_trip(spark, values):
     df = spark.createDataFrame([(1, packed)], "k long, v string")
     want = [x for x in ((v.strip(" ")[1:] if v.strip(" ").startswith("#") else v).strip(" ") for v in values) if x]
     assert with_packed_values(df, "v").first()["items"] == want
+
+
+def test_very_long_spans(spark):
+    rows = [(1, '"' + "x" * 1_000_000 + ', y", b'), (2, '"a"", b'), (3, "'" + "it''s " * 100_000 + "', c"), (4, '"' + "x," * 100_000)]
+    got = {r.k: (r.n, r.w) for r in explode_packed_values(spark.createDataFrame(rows, "k long, v string"), "k", "v").groupBy("k").agg(F.count("*").alias("n"), F.max(F.length("item")).alias("w")).collect()}
+    assert got == {1: (2, 1_000_003), 2: (2, 2), 3: (2, 499_999), 4: (100_000, 2)}
