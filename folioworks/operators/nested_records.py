@@ -22,8 +22,11 @@ def parse_payload(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Add ``out``: the parsed payload as VARIANT, or null where it is not one whole JSON document.
 
     The JSON parser stops at the end of the first value. Framing the text as the first of two list elements makes
-    whatever follows that value visible: the list then fails to parse or has another size.
+    whatever follows that value visible: the list then fails to parse or has another size. Of a repeated member name the last one
+    counts; the session is told so, as the parser else refuses the document. Documents beyond the size of a VARIANT (16 MiB,
+    128 MiB in later releases) read as null; ``payload_status`` counts them.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     bare = f"regexp_replace(`{text_col}`, '^[\\\\s]*\ufeff?[\\\\s]*', '')"
     df = df.withColumn("__nr_text", F.expr(bare))
     inner = f"from_json(concat('[', __nr_text, ',\"{_SENTINEL}\"]'), 'array<string>')"
@@ -113,6 +116,13 @@ def with_records(df: DataFrame, shape: str, text_col: str = "payload") -> DataFr
     )
 
 
+def payload_status(df: DataFrame, shape: str, text_col: str = "payload") -> DataFrame:
+    """One row per payload: page_id and status ('read', 'empty', or 'not one document'), so that no page vanishes uncounted."""
+    doc = parse_payload(df.select("page_id", text_col), text_col, "__doc")
+    blank = F.coalesce(F.trim(F.col(text_col)) == "", F.lit(True))
+    return doc.select("page_id", F.when(F.col("__doc").isNotNull(), "read").when(blank, "empty").otherwise("not one document").alias("status"))
+
+
 def _top(spec: dict) -> str:
     return f"transform(recs, r -> {_child('CAST(page_id AS STRING)', spec['kind'], 'r.rec_pos', 'r.rec_key')})"
 

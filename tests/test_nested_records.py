@@ -1,6 +1,6 @@
 import json
 
-from folioworks.operators.nested_records import child_table, child_tables
+from folioworks.operators.nested_records import child_table, child_tables, payload_status
 
 GOOD = {"data": [{"id": "a1", "what": {"author": {"userid": 7}, "category_info": {"type": "x"}, "tags": [{"tag": "t"}, None, "u", {"tag": 12}, {"tag": None}, ["no"]], "series": {"items": [{"id": 5}, {"id": None}]}}}, {"what": {"tags": ["lost"]}}, None]}
 
@@ -37,3 +37,11 @@ def test_repeats_and_empty(spark):
 def test_books(spark):
     p = json.dumps({"content": [{"id": "x", "media": {"status": "READY"}, "metadata": {"authors": [{"name": None}, {"name": "N"}]}}]})
     assert rows(spark, [p], "book_pages") == {(1, "1", "book", 1, "x"), (1, "x", "media", 1, "READY"), (1, "x", "contributor", 2, "N")}
+
+
+def test_repeated_member_names_keep_the_page(spark):
+    rows = [(1, '{"data": [{"id": "a", "x": 1, "x": 2, "what": {"author": {"userid": 7, "userid": 8}}}]}'), (2, '{"data": [{"id": "b"}]}'), (3, "{"), (4, None)]
+    df = spark.createDataFrame(rows, "page_id long, payload string")
+    got = {(r.page_id, r.child_kind, r.child_key) for r in child_tables(df, "wall_pages").collect()}
+    assert got == {(1, "activity", "a"), (1, "author", "8"), (2, "activity", "b")}
+    assert {r.page_id: r.status for r in payload_status(df, "wall_pages").collect()} == {1: "read", 2: "read", 3: "not one document", 4: "empty"}
