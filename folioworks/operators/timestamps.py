@@ -5,8 +5,9 @@ numeric dates, the earlier and the later instant of a local time that a clock ch
 A Viterbi pass over each source's records in order then picks one reading per value; it pays for switching between
 month-first and day-first and for going back in time. Where the source declares its date order, other orders are no readings.
 
-The pass is exact at any size: a source is cut into blocks of neighbouring keys, each block is reduced to one min-plus
-matrix by a tree product, the block matrices of a source are chained, and the blocks are decided between their fixed ends.
+The pass is exact at any size: the rows are sorted over all tasks by range, so that a hot source is many tasks' work however its keys lie,
+and cut by rank into blocks. Each block is reduced to one min-plus matrix by a tree product, the blocks of a source in one task to
+one matrix more, those are chained, and then runs, blocks and rows are decided between their fixed ends.
 
 Defined results: null, empty, unreadable, impossible and out-of-range values have no reading and no instant; a value with a
 zone or offset of its own uses it, else the source's zone, and with neither it has no reading; abbreviations count only
@@ -16,10 +17,12 @@ if the zones of the zone table agree on one offset; skipped local times have no
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,13 +248,11 @@ def _tree(steps: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def decide(m: np.ndarray, first: int, last: int, switch_cost: float, back_cost: float, tolerance_us: int) -> np.ndarray:
-    """The cheapest states of a block's rows between fixed first and last states."""
-    n = len(m)
-    states = np.full(n, first)
-    if n == 1:
-        return states
-    levels = _tree(_steps(m, switch_cost, back_cost, tolerance_us))
+def decide(steps: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The cheapest states before, between and behind the steps, of which the first and the last are fixed."""
+    if not len(steps):
+        return np.array([first])
+    levels = _tree(steps)
     ends = np.array([first, last])
     for x in reversed(levels[:-1]):
         half = len(x) // 2
@@ -265,15 +266,36 @@ def decide(m: np.ndarray, first: int, last: int, switch_cost: float, back_cost:
     return ends
 
 
+#: The matrix of a single row: its first state is its last.
+_STAY = np.where(np.eye(4) > 0, 0.0, 4 * _BIG)
+
+
+def _reduced(steps: np.ndarray) -> np.ndarray:
+    return _tree(steps)[-1][0] if len(steps) else _STAY
+
+
+def _joined(mats: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, costs: tuple[float, float, int]) -> np.ndarray:
+    """The steps through a row of blocks: each block's matrix, and between two blocks the step from the last row of one to the first row of the next."""
+    out = np.empty((2 * len(mats) - 1, 4, 4))
+    out[0::2] = mats
+    for i in range(len(mats) - 1):
+        out[2 * i + 1] = _steps(np.stack([lasts[i], firsts[i + 1]]), *costs)[0]
+    return out
+
+
+def _column(pdf: pd.DataFrame, name: str, shape: tuple[int, ...]) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype="float64").reshape(shape) for x in pdf[name]])
+
+
 def choose_readings(
-    df: DataFrame, source_cols: list[str], key_col: str, switch_cost: float = 4.0, back_cost: float = 1.0, tolerance_us: int = DAY_US, block_bits: int = 16
+    df: DataFrame, source_cols: list[str], key_col: str, switch_cost: float = 4.0, back_cost: float = 1.0, tolerance_us: int = DAY_US, block_rows: int = 65_536
 ) -> DataFrame:
     """Pick one reading per row by Viterbi over each source's rows in the order of ``key_col``.
 
     ``df`` has the source columns, the whole-number key, and ``readings``. The result has the source columns, the key,
     ``utc_micros`` and ``style`` of the chosen reading, and ``n_instants``, the number of distinct instants that can be read.
-    Rows with a null key or source form groups of their own and are kept; rows without any reading have nulls.
-    A block holds neighbouring keys, at most 2^block_bits distinct ones, so that no task ever holds a whole source.
+    Rows with a null key or source form groups of their own and are kept; rows without any reading have nulls. Rows of one key are
+    taken in the order of their instants. A block holds at most ``block_rows`` rows, whatever the keys, so that no task ever holds a whole source.
     """
     spark_cols = [F.col(f"`{c}`") for c in source_cols]
     def at(order: str, place: int) -> Column:
@@ -284,65 +306,111 @@ def choose_readings(
     slim = df.select(
         *[c.cast("string").alias(f"s{i}") for i, c in enumerate(spark_cols)],
         F.col(f"`{key_col}`").cast("long").alias("k"),
-        F.shiftright(F.col(f"`{key_col}`").cast("long"), block_bits).alias("block"),
         *[at(o, place).alias(f"{name}_{o}") for o in ("MDY", "DMY") for name, place in (("e", 1), ("l", -1))],
         F.size(F.array_distinct(F.transform("readings", lambda r: r.micros))).alias("n_instants"),
     )
-    # Two passes read the rows; written once, they are not parsed twice.
+    # Sorting samples the rows first; written once, they are not parsed twice.
     slim = materialize(slim, "readings")
     src = [f"s{i}" for i in range(len(source_cols))]
     cols = ["e_MDY", "l_MDY", "e_DMY", "l_DMY"]
-    src_schema = ", ".join(f"{s} string" for s in src)
+    costs = (switch_cost, back_cost, tolerance_us)
+    src_schema = ", ".join(f"{s} string" for s in src) + ", keyless boolean"
+    groups = [*src, "keyless"]
 
     def instants(pdf: pd.DataFrame) -> np.ndarray:
         return pdf[cols].to_numpy(dtype="float64")
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", *cols], kind="stable")
-        m = instants(pdf)
-        total = _tree(_steps(m, switch_cost, back_cost, tolerance_us))[-1][0] if len(m) > 1 else np.where(np.eye(4) > 0, 0.0, 4 * _BIG)
-        row = {s: pdf[s].iloc[0] for s in src} | {"block": pdf["block"].iloc[0], "mat": total.ravel(), "first_us": m[0], "last_us": m[-1]}
-        return pd.DataFrame([row])
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Number the blocks of a task's sorted rows; behind each block its matrix, and behind each source the matrix of all its blocks here."""
+        task, number, parts, have, held, source = TaskContext.get().partitionId(), 0, [], 0, [], None
+        no_mat = {"mat": None, "first_us": None, "last_us": None, "kind": 0}
+
+        def close_block() -> Iterator[pd.DataFrame]:
+            nonlocal number, parts, have
+            if not have:
+                return
+            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            m = instants(rows)
+            mat = _reduced(_steps(m, *costs)) if len(m) > 1 else _STAY
+            held.append((mat, m[0], m[-1]))
+            yield rows.assign(run=task, block=number, **no_mat)
+            yield summary(rows, 1, number, mat, m[0], m[-1])
+            number, parts, have = number + 1, [], 0
+
+        def close_source() -> Iterator[pd.DataFrame]:
+            nonlocal held
+            if held:
+                mats, first, last = (np.stack(x) for x in zip(*held))
+                yield summary(example, 2, -1, _reduced(_joined(mats, first, last, costs)), first[0], last[-1])
+            held = []
+
+        def summary(like: pd.DataFrame, kind: int, block: int, mat: np.ndarray, first: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+            row = {**{c: like[c].iloc[0] for c in groups}, "run": task, "block": block, "mat": mat.ravel(), "first_us": first, "last_us": last, "kind": kind}
+            return pd.DataFrame([row]).reindex(columns=[*names, "run", "block", "mat", "first_us", "last_us", "kind"])
+
+        example = None
+        for pdf in frames:
+            names = list(pdf.columns)
+            here = pdf[groups].astype("string").fillna("\x00")
+            change = (here != here.shift()).any(axis=1).to_numpy()
+            change[0] = True
+            starts = [*np.flatnonzero(change).tolist(), len(pdf)]
+            for a, z in zip(starts, starts[1:]):
+                own = tuple(here.iloc[a])
+                if own != source:
+                    yield from close_block()
+                    yield from close_source()
+                    source, example = own, pdf.iloc[a : a + 1]
+                while a < z:
+                    take = min(z - a, block_rows - have)
+                    parts.append(pdf.iloc[a : a + take])
+                    a, have = a + take, have + take
+                    if have == block_rows:
+                        yield from close_block()
+        yield from close_block()
+        yield from close_source()
+
+    # Equal rows are interchangeable, so a task that is run again numbers its blocks alike.
+    ordered = slim.withColumn("keyless", F.col("k").isNull()).repartitionByRange(*groups, "k", *cols).sortWithinPartitions(*groups, "k", *cols)
+    fields = f"{', '.join(f'{s} string' for s in src)}, k long, {', '.join(f'{c} long' for c in cols)}, n_instants int, keyless boolean"
+    ordered = ordered.select(*src, "k", *cols, "n_instants", "keyless")
+    ordered = materialize(ordered.mapInPandas(cut, f"{fields}, run long, block long, mat array<double>, first_us array<double>, last_us array<double>, kind int"), "readings-blocks")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The runs of a source, one a task of the sort: their first and last states on the cheapest way."""
+        pdf = pdf.sort_values("run", kind="stable")
+        mats, first, last = _column(pdf, "mat", (4, 4)), _column(pdf, "first_us", (4,)), _column(pdf, "last_us", (4,))
+        steps = _joined(mats, first, last, costs)
+        whole = _emit(first[:1])[0][:, None] + _reduced(steps)
+        states = decide(steps, *np.unravel_index(int(whole.argmin()), whole.shape))
+        return pd.DataFrame({**{c: pdf[c] for c in groups}, "run": pdf["run"], "first_state": states[0::2], "last_state": states[1::2]})
+
+    def inner(pdf: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
+        """The blocks of a run between its fixed ends."""
         pdf = pdf.sort_values("block", kind="stable")
-        mats = np.stack([np.asarray(x, dtype="float64").reshape(4, 4) for x in pdf["mat"]])
-        first = np.stack([np.asarray(x, dtype="float64") for x in pdf["first_us"]])
-        last = np.stack([np.asarray(x, dtype="float64") for x in pdf["last_us"]])
-        n = len(mats)
-        cost = _emit(first[:1])[0]
-        into, through = [], []
-        for i in range(n):
-            if i:
-                step = _steps(np.stack([last[i - 1], first[i]]), switch_cost, back_cost, tolerance_us)[0]
-                come = cost[:, None] + step
-                into.append(come.argmin(axis=0))
-                cost = come.min(axis=0)
-            come = cost[:, None] + mats[i]
-            through.append(come.argmin(axis=0))
-            cost = come.min(axis=0)
-        ends, starts = np.zeros(n, dtype=int), np.zeros(n, dtype=int)
-        ends[-1] = int(cost.argmin())
-        for i in range(n - 1, -1, -1):
-            starts[i] = through[i][ends[i]]
-            if i:
-                ends[i - 1] = into[i - 1][starts[i]]
-        return pd.DataFrame({**{s: pdf[s] for s in src}, "block": pdf["block"], "first_state": starts, "last_state": ends})
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in [*groups, "run", "block", "first_state", "last_state"]})
+        steps = _joined(_column(pdf, "mat", (4, 4)), _column(pdf, "first_us", (4,)), _column(pdf, "last_us", (4,)), costs)
+        states = decide(steps, int(fixed["first_state"].iloc[0]), int(fixed["last_state"].iloc[0]))
+        return pd.DataFrame({**{c: pdf[c] for c in groups}, "run": pdf["run"], "block": pdf["block"], "first_state": states[0::2], "last_state": states[1::2]})
 
     def final(pdf: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
         out_cols = [*src, "k", "utc_micros", "style", "n_instants"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in out_cols})
-        pdf = pdf.sort_values(["k", *cols], kind="stable")
+        pdf = pdf.sort_values(["k", *cols], kind="stable", na_position="first")
         m = instants(pdf)
-        states = decide(m, int(fixed["first_state"].iloc[0]), int(fixed["last_state"].iloc[0]), switch_cost, back_cost, tolerance_us)
+        steps = _steps(m, *costs) if len(m) > 1 else np.zeros((0, 4, 4))
+        states = decide(steps, int(fixed["first_state"].iloc[0]), int(fixed["last_state"].iloc[0]))
         value = np.stack([pdf[c].astype("Int64").to_numpy(dtype="object", na_value=None) for c in cols])[states, np.arange(len(m))]
         return pd.DataFrame(
             {**{s: pdf[s].to_numpy() for s in src}, "k": pdf["k"].to_numpy(), "utc_micros": pd.array(value, dtype="Int64"), "style": np.array(STATES, dtype=object)[states], "n_instants": pdf["n_instants"].to_numpy()}
         )
 
-    keys = [*src, "block"]
-    blocks = slim.groupBy(*keys).applyInPandas(summary, f"{src_schema}, block long, mat array<double>, first_us array<double>, last_us array<double>")
-    fixed = blocks.groupBy(*src).applyInPandas(chain, f"{src_schema}, block long, first_state int, last_state int")
-    decided = slim.groupBy(*keys).cogroup(fixed.groupBy(*keys)).applyInPandas(final, f"{src_schema}, k long, utc_micros long, style string, n_instants int")
+    runs, blocks, rows = (ordered.where(F.col("kind") == i) for i in (2, 1, 0))
+    runs = runs.select(*groups, "run", "mat", "first_us", "last_us").groupBy(*groups).applyInPandas(chain, f"{src_schema}, run long, first_state int, last_state int")
+    blocks = blocks.select(*groups, "run", "block", "mat", "first_us", "last_us").groupBy(*groups, "run").cogroup(runs.groupBy(*groups, "run"))
+    fixed = blocks.applyInPandas(inner, f"{src_schema}, run long, block long, first_state int, last_state int")
+    keys = [*groups, "run", "block"]
+    decided = rows.select(*keys, "k", *cols, "n_instants").groupBy(*keys).cogroup(fixed.groupBy(*keys)).applyInPandas(final, f"{', '.join(f'{s} string' for s in src)}, k long, utc_micros long, style string, n_instants int")
     return decided.select(*[F.col(s).alias(c) for s, c in zip(src, source_cols)], F.col("k").alias(key_col), "utc_micros", F.when(F.col("utc_micros").isNotNull(), F.col("style")).alias("style"), "n_instants")

@@ -69,13 +69,16 @@ def test_tree_decides_as_brute_force():
             if n == 1:
                 continue
             best = min(cost(p) for p in itertools.product(range(4), repeat=n) if p[0] == a and p[-1] == b)
-            assert cost(decide(m, a, b, 4.0, 1.0, 0)) == pytest.approx(best)
+            assert cost(decide(steps, a, b)) == pytest.approx(best)
     assert _emit(np.array([[np.nan] * 4])).sum() == 0
 
 
 def test_blocks_do_not_change_the_choice(spark):
     rows = [(k, f"{(k % 12) + 1:02d}/{(k * 7) % 28 + 1:02d}/2024") for k in range(1, 300)] + [(500, "25/12/2024"), (None, "01/02/2024")]
     df = with_readings(spark.createDataFrame(rows, "k long, v string").selectExpr("k", "v", "'UTC' z", "CAST(NULL AS STRING) o", "'s' src"), "v", "z", "o", ABBR)
-    out = [sorted(map(tuple, choose_readings(df, ["src"], "k", block_bits=b).select("k", "utc_micros").collect()), key=repr) for b in (3, 20)]
-    assert out[0] == out[1] and len(out[0]) == len(rows)
+    out = []
+    for rows_of_block, coalesce in ((7, "false"), (7, "true"), (1, "false"), (1000, "true")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        out.append(sorted(map(tuple, choose_readings(df, ["src"], "k", block_rows=rows_of_block).select("k", "utc_micros").collect()), key=repr))
+    assert out[0] == out[1] == out[2] == out[3] and len(out[0]) == len(rows)
     assert choose_readings(df.limit(0), ["src"], "k").count() == 0
