@@ -120,12 +120,26 @@ def star_tag(rating: Column) -> Column:
 
 
 def rating_of_tag(tag: Column) -> Column:
-    """The rating of a star tag (five stars, or one to five full ones alone) or of 'rating:n'; else null."""
-    t = F.trim(tag)
-    full = F.length(F.regexp_replace(t, "☆", ""))
-    stars = t.rlike("^★{1,5}☆{0,4}$") & ((F.length(t) == 5) | (full == F.length(t)))
-    old = F.regexp_extract(F.lower(t), r"^rating:\s*([1-5])$", 1)
-    return F.when(stars, full).when(old != "", old.try_cast("int"))
+    """The rating, 0 to 5, of a star tag (five stars in all, or one to five full ones alone) or of the older 'rating:n'; else null."""
+    full = F.length(F.regexp_replace(tag, "☆", ""))
+    stars = tag.rlike("^★*☆*$") & ((F.length(tag) == 5) | ((F.length(tag).between(1, 4)) & (full == F.length(tag))))
+    old = F.trim(F.substring(tag, F.lit(8), F.length(tag))).try_cast("int")
+    return F.when(tag.startswith("rating:"), F.when(old.between(0, 5), old)).when(stars, full)
+
+
+def is_rating_like(tag: Column) -> Column:
+    """Whether the rating machinery owns a tag: any 'rating:' tag, readable or not, and the star forms."""
+    return tag.startswith("rating:") | rating_of_tag(tag).isNotNull()
+
+
+def rating_of_tags(tags: Column) -> Column:
+    """The first readable rating of a tag list; null without one."""
+    return F.get(F.filter(F.transform(tags, rating_of_tag), lambda r: r.isNotNull()), F.lit(0))
+
+
+def split_csv(c: Column) -> Column:
+    """The non-empty parts of a field joined by ', '; null gives an empty list."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), ", "), lambda x: x != "")
 
 
 def mdy_date(c: Column) -> Column:

@@ -33,13 +33,22 @@ def refused_selections(members: DataFrame, group: str, book: str, file: str) ->
     return g.where("n < 2 OR files > distinct_files").select(group, F.when(F.col("n") < 2, "too few").otherwise("shared file").alias("reason"))
 
 
-def stamp_addresses(chapters: DataFrame, book: str, own_url: str, book_url: Column) -> DataFrame:
-    """Add ``url``: a chapter's own address; else the book's, if the book has one chapter only. A book of several chapters of which
-    any declares an address gets no others."""
-    w = Window.partitionBy(book)
-    alone = F.count(F.lit(1)).over(w) == 1
-    web = F.when(book_url.rlike("(?i)^https?://"), book_url)
-    return chapters.withColumn("url", F.coalesce(F.col(own_url), F.when(alone, web)))
+def stamp_addresses(chapters: DataFrame, book: str, own_url: str, book_url: Column, is_title_page: Column | None = None) -> DataFrame:
+    """Add ``url``. The only chapter of a book gets the book's address in place of its own; the chapters of a book of several get it just
+    where none of them declares one, else each keeps what it declares. Title pages do not count and keep what they declare. ``book_url``
+    is used as it stands; see ``book_address``. Blank addresses are none."""
+    own = F.nullif(F.trim(F.col(own_url)), F.lit(""))
+    content = ~F.coalesce(is_title_page, F.lit(False)) if is_title_page is not None else F.lit(True)
+    c = chapters.withColumns({"__own": own, "__content": content, "__url": F.nullif(F.trim(book_url), F.lit(""))})
+    facts = c.where("__content").groupBy(F.col(book).alias("__book")).agg(F.count(F.lit(1)).alias("__n"), F.count("__own").alias("__declared"))
+    j = c.join(facts, c[book].eqNullSafe(F.col("__book")), "left")
+    stamped = F.col("__content") & ((F.col("__n") == 1) | (F.col("__declared") == 0))
+    return j.withColumn("url", F.when(stamped, F.coalesce("__url", "__own")).otherwise(F.col("__own"))).drop("__own", "__content", "__url", "__book", "__n", "__declared")
+
+
+def book_address(given: Column, source: Column, title_page: Column) -> Column:
+    """A book's address: the one given, else its source if that is a web address, else the one on its title page."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.when(source.rlike("^https?://"), source), F.nullif(title_page, F.lit("")))
 
 
 def absorbed_links(parts: DataFrame, book: str, url: str, precedence: str, pos: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.operators.relational import folded_set
+
 
 def changed_fields(new: dict[str, Column], old: dict[str, Column]) -> Column:
     """A map of the fields whose new value differs from the old one, nulls compared as values. Values are text."""
@@ -15,9 +17,8 @@ def changed_fields(new: dict[str, Column], old: dict[str, Column]) -> Column:
 
 
 def same_folded_set(a: Column, b: Column) -> Column:
-    """Whether two lists hold the same values without regard to case, order and repetition; null is an empty list."""
-    fold = lambda c: F.array_sort(F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))))
-    return fold(a) == fold(b)
+    """Whether two lists hold the same values without regard to case, Unicode form, order and repetition; null is an empty list."""
+    return folded_set(a) == folded_set(b)
 
 
 def upsert_links(current: Column, label: Column, url: Column) -> Column:

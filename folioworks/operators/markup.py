@@ -96,11 +96,24 @@ def stamp(text: Column, signature: Column) -> Column:
     return F.concat(F.lit("/* folioworks:"), signature, F.lit(" */\n"), strip_marker(text))
 
 
-def unreferenced(names: DataFrame, corpus: DataFrame, group: str, name: str, text: str) -> DataFrame:
-    """Names no text of their group holds (without regard to case). Names of a group are one bounded list beside each of its texts."""
-    lists = names.groupBy(group).agg(F.array_sort(F.collect_set(F.lower(name))).alias("__names"))
-    seen = corpus.join(lists, group).select(group, F.explode_outer(F.filter("__names", lambda n: F.contains(F.lower(F.col(text)), n))).alias("__n")).where("__n IS NOT NULL").distinct()
-    return names.join(seen, (names[group] == seen[group]) & (F.lower(names[name]) == seen["__n"]), "left_anti")
+def unreferenced(names: DataFrame, corpus: DataFrame, group: str, name: str, key: str, text: str) -> DataFrame:
+    """Names no text of their group holds, without regard to case; every name is looked for whole, and within longer words too.
+
+    Four characters of each name, its rarest ones among the names, are its anchor; the texts' distinct windows of four characters
+    meet the anchors by equality, and only then is the whole name looked for. So no name is held against every text. Names that are shorter
+    are met with every text of their group; a blank name is held by any text.
+    """
+    n = names.where(F.col(name).isNotNull()).select(F.col(group).alias("__g"), F.lower(name).alias("__n")).distinct()
+    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))
+    long = n.where(F.length("__n") >= 4).select("__g", "__n", F.explode(windows(F.col("__n"))).alias("__w"))
+    common = long.groupBy("__g", "__w").agg(F.count(F.lit(1)).alias("__c"))
+    anchors = long.join(common, ["__g", "__w"]).groupBy("__g", "__n").agg(F.min_by("__w", F.struct("__c", "__w")).alias("__w"))
+    texts = corpus.where(F.col(text).isNotNull()).select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.lower(text).alias("__t"))
+    seen = texts.where(F.length("__t") >= 4).select("__g", "__k", F.explode(windows(F.col("__t"))).alias("__w")).join(anchors, ["__g", "__w"]).select("__g", "__k", "__n")
+    held = seen.join(texts, ["__g", "__k"]).where(F.contains("__t", F.col("__n"))).select("__g", "__n").distinct()
+    short = n.where(F.length("__n") < 4).groupBy("__g").agg(F.collect_set("__n").alias("__names"))  # at most the strings of three characters
+    few = texts.join(short, "__g").select("__g", F.explode_outer(F.filter("__names", lambda x: F.contains(F.col("__t"), x))).alias("__n")).where("__n IS NOT NULL").distinct()
+    return names.join(held.unionByName(few), (names[group] == F.col("__g")) & (F.lower(names[name]) == F.col("__n")), "left_anti")
 
 
 def repoint_links(chapters: DataFrame, mapping: DataFrame, book: str, chapter: str, text: str, old: str, new: str) -> DataFrame:

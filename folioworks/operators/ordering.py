@@ -16,23 +16,48 @@ def slot_sort(df: DataFrame, doc: str, pos: str, zone: Column, number: Column, s
     into the places that such rows held, all others keep their places."""
     slotted = (zone == sorted_zone) & number.isNotNull()
     d = df.withColumns({"__z": zone, "__s": slotted})
-    base = F.row_number().over(Window.partitionBy(doc).orderBy("__z", pos))
-    d = d.withColumn("__place", base).withColumn("__num", F.when(F.col("__s"), number))
-    by_number = Window.partitionBy(doc, "__s").orderBy(F.asc_nulls_last("__num"), pos)
-    # The places of the slotted rows in rising order; the k-th smallest number takes the k-th place.
-    places = F.array_sort(F.collect_list(F.when(F.col("__s"), F.col("__place"))).over(Window.partitionBy(doc)))
-    d = d.withColumns({"__k": F.row_number().over(by_number), "__places": places})
-    return d.withColumn("new_pos", F.when(F.col("__s"), F.get("__places", F.col("__k") - 1)).otherwise(F.col("__place"))).drop("__z", "__s", "__place", "__num", "__k", "__places")
-
-
-def splice_order(df: DataFrame, doc: str, auto_pos: str, stored_pos: str) -> DataFrame:
-    """Add ``new_pos`` (from 1): rows with a stored position come in its order; each other row goes directly behind the nearest
-    earlier stored row of the automatic order, else to the front. Of several behind one anchor the later one comes first."""
+    d = d.withColumn("__place", F.row_number().over(Window.partitionBy(doc).orderBy("__z", pos)))
+    d = d.withColumn("__k", F.row_number().over(Window.partitionBy(doc, "__s").orderBy(F.when(F.col("__s"), number).asc_nulls_last(), pos)))
+    # The k-th smallest number takes the k-th of the slotted places.
+    slots = d.where("__s").select(F.col(doc).alias("__doc"), F.row_number().over(Window.partitionBy(doc).orderBy("__place")).alias("__slot"), F.col("__place").alias("__to"))
+    taken = F.col("__s") & d[doc].eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__slot"))
+    return d.join(slots, taken, "left").withColumn("new_pos", F.coalesce("__to", "__place")).drop("__z", "__s", "__place", "__k", "__doc", "__slot", "__to")
+
+
+def splice_order(df: DataFrame, doc: str, auto_pos: str, stored_pos: str, nav_pos: str | None = None) -> DataFrame:
+    """Add ``new_pos`` (from 1): rows with a stored position come in its order, ties in the automatic order; each other row goes directly
+    behind the nearest earlier stored row of the automatic order, else to the front. The others are put in one by one in the order of
+    ``nav_pos`` (the present order; by default the automatic one), so of several behind one anchor the later one comes first."""
     before = Window.partitionBy(doc).orderBy(auto_pos).rowsBetween(Window.unboundedPreceding, -1)
-    anchor = F.coalesce(F.col(stored_pos), F.last(stored_pos, ignorenulls=True).over(before), F.lit(-1))
-    d = df.withColumn("__anchor", anchor)
-    order = Window.partitionBy(doc).orderBy("__anchor", F.when(F.col(stored_pos).isNotNull(), 0).otherwise(1), F.desc(auto_pos))
-    return d.withColumn("new_pos", F.row_number().over(order)).drop("__anchor")
+    own = F.when(F.col(stored_pos).isNotNull(), F.struct(F.col(stored_pos).alias("s"), F.col(auto_pos).alias("a")))
+    d = df.withColumn("__own", own).withColumn("__anchor", F.coalesce("__own", F.last("__own", ignorenulls=True).over(before)))
+    order = Window.partitionBy(doc).orderBy(F.asc_nulls_first("__anchor"), F.when(F.col("__own").isNotNull(), 0).otherwise(1), F.desc(nav_pos or auto_pos))
+    return d.withColumn("new_pos", F.row_number().over(order)).drop("__own", "__anchor")
+
+
+def zoned_order(df: DataFrame, doc: str, nav_pos: str, zone: Column, number: Column, key: str, stored: Column, sorted_zone: int = 2) -> DataFrame:
+    """Add ``new_pos``: the automatic order, and inside ``sorted_zone`` the stored order of keys merged with it.
+
+    ``stored`` is an array of keys per row of a document (the same on all of its rows). An order that names a key twice says nothing and is
+    ignored, and so is a missing or empty one; rows of other zones keep their automatic place whatever the order says.
+    """
+    d = slot_sort(df.withColumns({"__zone": zone, "__number": number}), doc, nav_pos, F.col("__zone"), F.col("__number"), sorted_zone).withColumnRenamed("new_pos", "__auto")
+    usable = F.size(stored) == F.size(F.array_distinct(stored))
+    at = F.when(usable & (F.col("__zone") == sorted_zone), F.nullif(F.array_position(stored, F.col(key)), F.lit(0)))
+    d = d.withColumn("__at", at).withColumn("__merged", F.coalesce(F.size(stored) > 0, F.lit(False)) & F.coalesce(usable, F.lit(False)) & (F.col("__zone") == sorted_zone))
+    whole = d.where(~F.col("__merged")).withColumn("new_pos", F.col("__auto"))
+    merged = splice_order(d.where("__merged"), doc, "__auto", "__at", nav_pos)
+    # The merged rows fill the places their zone has in the automatic order, which are neighbours.
+    first = d.where("__merged").groupBy(F.col(doc).alias("__doc")).agg((F.min("__auto") - 1).alias("__before"))
+    merged = merged.join(first, merged[doc].eqNullSafe(F.col("__doc"))).withColumn("new_pos", F.col("new_pos") + F.col("__before")).drop("__doc", "__before")
+    return whole.unionByName(merged).drop("__zone", "__number", "__auto", "__at", "__merged")
+
+
+def stored_order(text: Column) -> Column:
+    """A stored order of keys from its JSON list; empty for anything else and for an order that names a key twice."""
+    parsed = F.from_json(text, "array<string>")
+    none = F.array().cast("array<string>")
+    return F.when(F.trim(text).startswith("[") & (F.size(parsed) == F.size(F.array_distinct(parsed))), parsed).otherwise(none)
 
 
 def ranges_to_next(df: DataFrame, doc: str, start: str, order: list[str], last: Column) -> DataFrame:
@@ -72,17 +97,25 @@ def last_at_or_before(points: DataFrame, marks: DataFrame, doc: str, at: str, st
     return walked.withColumn(value, F.col("__last")).drop("__at", "__kind", "__v", "__bucket", "__last", "__doc", "__b", "__carry")
 
 
-def nearest_mark(points: DataFrame, marks: DataFrame, doc: str, at: str, mark: str, key: list[str]) -> DataFrame:
-    """Every point with the nearest mark of its document; of two equally near ones the lower. Linear, as above."""
+def nearest_mark(points: DataFrame, marks: DataFrame, doc: str, at: str, mark: str, key: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Every point with the nearest mark of its document; of two equally near ones the lower. Linear, and cut by ``bucket`` as above:
+    the marks next to a bucket's ends come from a table of one row a bucket."""
     kind = dict(marks.dtypes)[mark]
-    p = points.withColumns({"__at": F.col(at), "__m": F.lit(None).cast(kind)})
-    m = marks.select(F.col(doc), F.col(mark).alias("__at"), F.col(mark).alias("__m")).distinct()
-    both = p.withColumn("__p", F.lit(True)).unionByName(m, allowMissingColumns=True)
-    asc = Window.partitionBy(doc).orderBy("__at", F.asc_nulls_last("__m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    desc = Window.partitionBy(doc).orderBy(F.desc("__at"), F.asc_nulls_last("__m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"__lo": F.last("__m", ignorenulls=True).over(asc), "__hi": F.last("__m", ignorenulls=True).over(desc)})
+    b = bucket or (lambda c: F.lit(0))
+    p = points.withColumns({"__at": F.col(at), "__m": F.lit(None).cast(kind), "__p": F.lit(True)})
+    m = marks.where(F.col(mark).isNotNull()).select(F.col(doc), F.col(mark).alias("__at"), F.col(mark).alias("__m")).distinct()
+    both = p.unionByName(m, allowMissingColumns=True).withColumn("__b", b(F.col("__at")))
+    asc = Window.partitionBy(doc, "__b").orderBy("__at", F.asc_nulls_last("__m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    desc = Window.partitionBy(doc, "__b").orderBy(F.desc("__at"), F.asc_nulls_last("__m")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"__lo": F.last("__m", ignorenulls=True).over(asc), "__hi": F.last("__m", ignorenulls=True).over(desc)}).where("__p")
+    if bucket:
+        ends = m.unionByName(points.select(F.col(doc), F.col(at).alias("__at")), allowMissingColumns=True).groupBy(F.col(doc).alias("__doc"), b(F.col("__at")).alias("__bb")).agg(F.min("__m").alias("__min"), F.max("__m").alias("__max"))
+        near = Window.partitionBy("__doc").orderBy("__bb")
+        ends = ends.select("__doc", "__bb", F.last("__max", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, -1)).alias("__below"), F.first("__min", ignorenulls=True).over(near.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
+        both = both.join(ends, both[doc].eqNullSafe(F.col("__doc")) & F.col("__b").eqNullSafe(F.col("__bb")), "left")
+        both = both.withColumns({"__lo": F.coalesce("__lo", "__below"), "__hi": F.coalesce("__hi", "__above")}).drop("__doc", "__bb", "__below", "__above")
     near = F.when(F.col("__hi").isNull() | (F.col("__at") - F.col("__lo") <= F.col("__hi") - F.col("__at")), F.col("__lo")).otherwise(F.coalesce("__hi", "__lo"))
-    return both.where("__p").withColumn("nearest", near).drop("__at", "__m", "__p", "__lo", "__hi")
+    return both.withColumn("nearest", near).drop("__at", "__m", "__p", "__b", "__lo", "__hi")
 
 
 def place_in_span(start: Column, share: Column, span: Column, last: Column) -> Column:
@@ -90,10 +123,22 @@ def place_in_span(start: Column, share: Column, span: Column, last: Column) -> C
     return F.least(last, F.greatest(start, start + F.bround(share * span, 0).cast("bigint")))
 
 
-def runs_by_heading(df: DataFrame, doc: str, pos: str, is_heading: Column) -> DataFrame:
-    """Add ``run``: how many headings stand at or before the row; 0 before the first."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("run", F.sum(is_heading.cast("int")).over(w))
+def runs_by_heading(df: DataFrame, doc: str, pos: str, is_heading: Column, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add ``run``: how many headings stand at or before the row; 0 before the first.
+
+    ``bucket``, a non-decreasing function of the place, cuts a document that may hold many rows; the headings of the buckets before
+    come from a table of one row a bucket.
+    """
+    d = df.withColumn("__h", F.coalesce(is_heading, F.lit(False)).cast("int")).withColumn("__b", bucket(F.col(pos)) if bucket else F.lit(0))
+    w = Window.partitionBy(doc, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("run", F.sum("__h").over(w))
+    if bucket:
+        before = Window.partitionBy("__doc").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)
+        carried = d.groupBy(F.col(doc).alias("__doc"), F.col("__b").alias("__bb")).agg(F.sum("__h").alias("__n"))
+        carried = carried.select("__doc", "__bb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry"))
+        d = d.join(carried, d[doc].eqNullSafe(F.col("__doc")) & F.col("__b").eqNullSafe(F.col("__bb")), "left")
+        d = d.withColumn("run", F.col("run") + F.col("__carry")).drop("__doc", "__bb", "__carry")
+    return d.drop("__h", "__b")
 
 
 def moved_count(df: DataFrame, doc: str, before: str, after: str) -> DataFrame:

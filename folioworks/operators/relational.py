@@ -6,8 +6,12 @@ null key pass through deduplication and take part in no lookup, unless a docstri
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column], keep_null_keys: bool = False) -> DataFrame:
@@ -57,17 +61,36 @@ def unique_or_null(df: DataFrame, other: DataFrame, key: Column, other_key: Colu
     """Add ``out``: the value of the one row of ``other`` with this key; null where there is none or more than one."""
     single = other.select(other_key.alias("__k"), F.col(value).alias("__v")).where("__k IS NOT NULL").groupBy("__k").agg(F.min("__v").alias("__v"), F.count(F.lit(1)).alias("__n"))
     single = single.where("__n = 1").select("__k", F.col("__v").alias(out))
-    return df.withColumn("__j", key).join(single, F.col("__j") == F.col("__k"), "left").drop("__j", "__k")
+    keyed = df.withColumn("__j", key)
+    found = keyed.where("__j IS NOT NULL").join(single, F.col("__j") == F.col("__k"), "left").drop("__j", "__k")
+    return found.unionByName(keyed.where("__j IS NULL").drop("__j").withColumn(out, F.lit(None).cast(dict(other.dtypes)[value])))
 
 
 def suffix_match(paths: DataFrame, targets: DataFrame, path: str, target: str, value: str) -> DataFrame:
-    """(path, value) where exactly one target ends in '/' + path. An equality on the last segment, then the suffix test."""
-    last = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
-    left = paths.select(path).where(F.col(path).isNotNull()).distinct().withColumn("__seg", last(path))
-    right = targets.select(F.col(target).alias("__t"), F.col(value).alias("__v")).withColumn("__seg", last("__t"))
-    hit = left.join(right, "__seg").where(F.col("__t").endswith(F.concat(F.lit("/"), F.col(path))))
-    found = hit.groupBy(path).agg(F.min("__v").alias(value), F.count(F.lit(1)).alias("__n"))
-    return left.join(found.where("__n = 1").drop("__n"), path, "left").select(path, value)
+    """(path, value) where exactly one target ends in '/' + path, compared in composed Unicode form.
+
+    The suffixes of each target are generated, so that the join is an equality on the whole path, not on its last segment, which is often the same.
+    """
+    left = paths.select(path).where(F.col(path).isNotNull()).distinct().withColumn("__p", nfc(F.col(path)))
+    t = targets.where(F.col(target).isNotNull()).select(nfc(F.col(target)).alias("__t"), F.col(value).alias("__v"))
+    parts = F.split("__t", "/")
+    suffixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    t = t.where(F.contains("__t", F.lit("/"))).select(F.explode(suffixes).alias("__p"), "__v")
+    found = t.groupBy("__p").agg(F.min("__v").alias(value), F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
+    return left.join(found, "__p", "left").select(path, value)
+
+
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """The composed form."""
+    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def same_file(path: Column, other: Column) -> Column:
+    """Whether a path names the other one's end, whole segments only, without regard to case, Unicode form and kind of slash. Give columns
+    of ``nfc_casefold`` values."""
+    slashes = lambda c: F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "^/+", "")
+    return (slashes(path) == slashes(other)) | slashes(other).endswith(F.concat(F.lit("/"), slashes(path)))
 
 
 def longest_prefix_owner(names: DataFrame, owners: DataFrame, folder: str, name: str, stem: str) -> DataFrame:
@@ -130,22 +153,27 @@ def duplicate_flags(df: DataFrame, *keys: Column) -> DataFrame:
 
     Counts are aggregated and joined back, so that a hot value costs no window partition.
     """
-    out = df
-    flag = F.lit(False)
-    for i, key in enumerate(keys):
-        k, n = f"__k{i}", f"__n{i}"
-        out = out.withColumn(k, key)
-        counts = out.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias(n)).where(f"{n} > 1")
-        out = out.join(counts, k, "left")
-        flag = flag | F.col(n).isNotNull()
-    return out.withColumn("is_duplicate", flag).drop(*[c for c in out.columns if c.startswith("__")])
-
-
-def content_claims(df: DataFrame, path: str, content: Column) -> DataFrame:
-    """Same path and bytes share a name, other bytes get the next suffix: path, digest, claim_no, claimed (first sight by digest order)."""
-    d = df.select(F.col(path), F.sha2(content.cast("binary"), 256).alias("digest")).distinct()
-    no = F.dense_rank().over(Window.partitionBy(path).orderBy("digest"))
-    return d.withColumn("claim_no", no).withColumn("claimed", F.when(F.col("claim_no") == 1, F.col(path)).otherwise(F.concat_ws("-", path, F.col("claim_no").cast("string"))))
+    n, all_rows = len(keys), df.withColumns({f"__k{i}": key for i, key in enumerate(keys)}).withColumn("is_duplicate", F.lit(False))
+    for i in range(n):
+        k = f"__k{i}"
+        # Rows without the key go round the join, so that no partition collects them.
+        keyed = all_rows.where(F.col(k).isNotNull())
+        counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        marked = keyed.join(counts, k, "left").withColumn("is_duplicate", F.col("is_duplicate") | F.col("__n").isNotNull()).drop("__n")
+        all_rows = marked.unionByName(all_rows.where(F.col(k).isNull()))
+    return all_rows.drop(*[f"__k{i}" for i in range(n)])
+
+
+def content_claims(df: DataFrame, path: str, content: Column, order: list[str]) -> DataFrame:
+    """Same path and bytes share a name; other bytes of the path get the next suffix, in the order in which they are first claimed: path,
+    digest, claim_no, claimed.
+
+    Claims are first brought to one row a path and digest, before the window by path; numbering needs the path's distinct digests in one
+    order, which the window sorts with spilling.
+    """
+    d = df.select(F.col(path), F.sha2(content.cast("binary"), 256).alias("digest"), F.struct(*order).alias("__first")).groupBy(path, "digest").agg(F.min("__first").alias("__first"))
+    no = F.row_number().over(Window.partitionBy(path).orderBy("__first", "digest"))
+    return d.select(path, "digest", no.alias("claim_no")).withColumn("claimed", F.when(F.col("claim_no") == 1, F.col(path)).otherwise(F.concat_ws("-", path, F.col("claim_no").cast("string"))))
 
 
 def heaviest(df: DataFrame, group: list[str], value: str, weight: Column, share: float) -> DataFrame:
@@ -177,6 +205,36 @@ def preferred(df: DataFrame, group: list[str], kind: str, preference: list[str],
     return best.select(*group, *[F.col(f"__b.{c}").alias(c) for c in rest])
 
 
+def dispositions(*rules: tuple[str, Column], otherwise: str = "kept") -> Column:
+    """The name of the first rule that holds; a rule that is unknown does not hold."""
+    out = None
+    for name, rule in rules:
+        out = F.when(rule, name) if out is None else out.when(rule, name)
+    return out.otherwise(otherwise)
+
+
+def counts_by_state(df: DataFrame, state: str, states: list[str], unknown: str = "unknown") -> DataFrame:
+    """state, n: the rows of each named state, 0 included, and of all others, null too, under ``unknown``."""
+    known = F.col(state).isin(*states)
+    counts = [F.count_if(F.col(state) == s).alias(f"__{i}") for i, s in enumerate(states)]
+    one = df.agg(*counts, F.count_if(~F.coalesce(known, F.lit(False))).alias("__u"))
+    rows = [F.struct(F.lit(s).alias("state"), F.col(f"__{i}").alias("n")) for i, s in enumerate(states)]
+    return one.select(F.explode(F.array(*rows, F.struct(F.lit(unknown).alias("state"), F.col("__u").alias("n")))).alias("r")).select("r.state", "r.n")
+
+
+def large_rows(df: DataFrame, group: str, size: str, factor: float) -> DataFrame:
+    """Per group its median size and how many rows reach ``factor`` times it; null sizes count in neither."""
+    med = df.groupBy(group).agg(F.median(size).alias("median_size"))
+    return df.join(med, group).groupBy(group, "median_size").agg(F.count_if(F.col(size) >= factor * F.col("median_size")).alias("n_large"))
+
+
+def number_range_title(df: DataFrame, group: str, low: str, high: Column, stem: Column) -> DataFrame:
+    """Per group '<stem> <least>-<greatest>' over its numbers and range ends; one number stands alone; null without a number."""
+    g = df.groupBy(group).agg(F.min(low).alias("__lo"), F.max(F.coalesce(high, F.col(low))).alias("__hi"), F.any_value(stem).alias("__stem"))
+    shown = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo").cast("string")).otherwise(F.concat("__lo", F.lit("-"), "__hi"))
+    return g.select(group, F.concat("__stem", F.lit(" "), shown).alias("title"))
+
+
 def newest_not_after(now: Column, *stamps: Column) -> Column:
     """The newest of the timestamps; nulls are skipped, and none or one in the future gives ``now``."""
     newest = F.greatest(*stamps) if len(stamps) > 1 else stamps[0]
@@ -192,13 +250,33 @@ def full_outer_state(before: DataFrame, after: DataFrame, key: str, value: str)
     return j.select(key, "before_value", "after_value", state.alias("state"))
 
 
-def folded_difference(left: Column, *minus: Column) -> Column:
-    """The elements of an array whose lower-cased form is in none of the others; order and spelling kept. For exact Unicode
-    folding give arrays of ``nfc_casefold`` values."""
-    drop = F.transform(F.concat(*minus), lambda x: F.lower(x))
-    return F.filter(left, lambda x: ~F.array_contains(drop, F.lower(x)))
+def _fold(x: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_difference(left: pd.Series, minus: pd.Series) -> pd.Series:
+    """The elements of an array whose composed and case-folded form is in none of the others; order, spelling and repeats are kept, nulls
+    fall away, and a null array to take from is null; a null array to take away is empty."""
+    drop = [set() if m is None else {_fold(x) for x in m if x is not None} for m in minus]
+    return pd.Series([None if v is None else [x for x in v if x is not None and _fold(x) not in d] for v, d in zip(left, drop)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_distinct(values: pd.Series) -> pd.Series:
+    """Array elements distinct by their composed and case-folded form; the first spelling stays, nulls fall away."""
+
+    def once(v: list[str]) -> list[str]:
+        first: dict[str, str] = {}
+        for x in v:
+            if x is not None:
+                first.setdefault(_fold(x), x)
+        return list(first.values())
+
+    return values.map(once, na_action="ignore")
 
 
-def folded_distinct(values: Column) -> Column:
-    """Array elements distinct by lower-cased form; the first spelling stays."""
-    return F.filter(values, lambda x, i: F.array_position(F.transform(values, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+@F.pandas_udf(ArrayType(StringType()))
+def folded_set(values: pd.Series) -> pd.Series:
+    """The composed and case-folded elements, distinct and sorted; a null array is empty, nulls fall away."""
+    return pd.Series([sorted({_fold(x) for x in v if x is not None}) if v is not None else [] for v in values])

@@ -11,6 +11,7 @@ from folioworks.functions import scalars as S
 from folioworks.operators import changes as C
 from folioworks.operators import markup as M
 from folioworks.operators import ordering as O
+from folioworks.operators import payloads as P
 from folioworks.operators import relational as R
 from folioworks.session import table
 from folioworks.streaming import feeds
@@ -94,15 +95,14 @@ FROM t GROUP BY 1""")
 def disposition_counts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "posts")
     first = p.where("title IS NOT NULL").groupBy("title").agg(F.min("post_id").alias("first_id"))
-    j = p.join(first, "title", "left")
-    what = (
-        F.when(F.col("loaded_at") < F.lit("2025-02-01").cast("timestamp_ntz"), "old")
-        .when(~F.col("can_view"), "locked")
-        .when(F.col("post_kind").isNull() | (F.col("post_kind") != "text_post"), "no file")
-        .when(F.col("post_id") > F.col("first_id"), "repeated")
-        .otherwise("kept")
+    keyed = p.where("title IS NOT NULL").join(first, "title").unionByName(p.where("title IS NULL"), allowMissingColumns=True)
+    what = R.dispositions(
+        ("old", F.col("loaded_at") < F.lit("2025-02-01").cast("timestamp_ntz")),
+        ("locked", ~F.col("can_view")),
+        ("no file", F.col("post_kind").isNull() | (F.col("post_kind") != "text_post")),
+        ("repeated", F.col("post_id") > F.col("first_id")),
     )
-    return j.groupBy(what.alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy(what.alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id FROM events WHERE ts IS NULL OR ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY")
@@ -140,7 +140,7 @@ def int_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT meta_id, unnest(string_split(category, ', ')) AS v, generate_subscripts(string_split(category, ', '), 1) AS i FROM story_meta WHERE category IS NOT NULL),
-     f AS (SELECT meta_id, v, i, row_number() OVER (PARTITION BY meta_id, lower(v) ORDER BY i) rn FROM x)
+     f AS (SELECT meta_id, v, i, row_number() OVER (PARTITION BY meta_id, lower(nfc_normalize(replace(v, 'ß', 'ss'))) ORDER BY i) rn FROM x)
 SELECT meta_id, string_agg(v, '|' ORDER BY i) AS categories FROM f WHERE rn = 1 GROUP BY meta_id""")
 def fold_dedupe(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "story_meta").where("category IS NOT NULL")
@@ -165,14 +165,12 @@ def budget_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT p_partkey FROM part WHERE p_size <= 40)
-SELECT l_orderkey, CAST(count(DISTINCT CASE WHEN k.p_partkey IS NULL THEN l_partkey END) AS BIGINT) AS n_missing, count(CASE WHEN k.p_partkey IS NULL THEN 1 END) = 0 AS subset
-FROM lineitem LEFT JOIN k ON l_partkey = p_partkey GROUP BY l_orderkey""")
+WITH k AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 5),
+     m AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS m FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.l_orderkey = l.l_orderkey AND k.l_partkey = l.l_partkey) GROUP BY 1)
+SELECT o.l_orderkey, CAST(coalesce(m, 0) AS BIGINT) AS n_missing, m IS NULL AS subset FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN m USING (l_orderkey)""")
 def subset_check(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    known = table(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
-    missing = li.join(known, "l_partkey", "left_anti").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("m"))
-    return li.select("l_orderkey").distinct().join(missing, "l_orderkey", "left").select("l_orderkey", F.coalesce("m", F.lit(0)).cast("bigint").alias("n_missing"), F.col("m").isNull().alias("subset"))
+    li = table(spark, d, "lineitem")
+    return R.missing_from(li.select("l_orderkey", "l_partkey"), li.where("l_quantity >= 5").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
 @query("""
@@ -186,13 +184,13 @@ def unique_suffix_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT DISTINCT site, regexp_replace(url, '^/s/', '') AS name FROM stories WHERE site IS NOT NULL AND url IS NOT NULL),
-     o AS (SELECT DISTINCT site, name AS stem FROM n WHERE length(name) <= 24),
-     c AS (SELECT site, count(*) k, min(stem) s FROM o GROUP BY site),
-     b AS (SELECT n.site, n.name, arg_max(stem, length(stem)) AS best FROM n JOIN o ON n.site = o.site AND starts_with(n.name, stem) AND substr(n.name, length(stem) + 1, 1) IN ('.','-','_',' ') GROUP BY 1, 2)
+     c AS (SELECT site, count(*) k, min(name) s FROM n GROUP BY site),
+     p AS (SELECT site, name, unnest(generate_series(1, length(name) - 1)) AS i FROM n),
+     b AS (SELECT p.site, p.name, arg_max(o.name, i) AS best FROM p JOIN n o ON p.site = o.site AND o.name = substr(p.name, 1, i) WHERE substr(p.name, i + 1, 1) IN ('.','-','_',' ') GROUP BY 1, 2)
 SELECT n.site, n.name, CASE WHEN k = 1 THEN s ELSE best END AS owner FROM n LEFT JOIN b USING (site, name) LEFT JOIN c USING (site)""")
 def longest_prefix_owner(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "stories").where("site IS NOT NULL AND url IS NOT NULL").select("site", F.regexp_replace("url", "^/s/", "").alias("name")).distinct()
-    return R.longest_prefix_owner(n, n.where("length(name) <= 24"), "site", "name", "name")
+    return R.longest_prefix_owner(n, n, "site", "name", "name")
 
 
 @query("""SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) > 1)""")
@@ -228,10 +226,10 @@ def language_resolve(spark: SparkSession, d: str) -> DataFrame:
     return R.single_value(table(spark, d, "documents").select("source", "lang", "doc_id"), ["source"], "lang", F.coalesce(first, F.lit("en")))
 
 
-@query("""SELECT story_id, CASE WHEN min(chapter_no) IS NOT NULL THEN 'Chapters ' || min(chapter_no) || '-' || max(chapter_no) END AS title FROM documents WHERE story_id IS NOT NULL GROUP BY 1""")
+@query("""SELECT story_id, CASE WHEN min(chapter_no) = max(chapter_no) THEN 'Story ' || story_id || ' ' || min(chapter_no) WHEN min(chapter_no) IS NOT NULL THEN 'Story ' || story_id || ' ' || min(chapter_no) || '-' || max(chapter_no) END AS title FROM documents WHERE story_id IS NOT NULL GROUP BY 1""")
 def title_range(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").where("story_id IS NOT NULL").groupBy("story_id").agg(F.min("chapter_no").alias("lo"), F.max("chapter_no").alias("hi"))
-    return g.select("story_id", F.concat(F.lit("Chapters "), F.col("lo"), F.lit("-"), F.col("hi")).alias("title"))
+    docs = table(spark, d, "documents").where("story_id IS NOT NULL").select("story_id", "chapter_no")
+    return R.number_range_title(docs, "story_id", "chapter_no", F.lit(None).cast("bigint"), F.concat(F.lit("Story "), "story_id"))
 
 
 @query("""
@@ -251,12 +249,12 @@ def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT source || '/' || coalesce(doc_kind, 'none') AS path, sha256(text) AS digest FROM documents WHERE text IS NOT NULL),
-     r AS (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY digest) AS claim_no FROM t)
-SELECT path, digest, CAST(claim_no AS INT) AS claim_no, CASE WHEN claim_no = 1 THEN path ELSE path || '-' || claim_no END AS claimed FROM r""")
+WITH t AS (SELECT source || '/' || coalesce(doc_kind, 'none') AS path, sha256(text) AS digest, min(doc_id) AS f FROM documents WHERE text IS NOT NULL GROUP BY 1, 2),
+     r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY f, digest) AS claim_no FROM t)
+SELECT path, digest, CAST(claim_no AS INT) AS claim_no, CASE WHEN claim_no = 1 THEN path ELSE path || '-' || claim_no END AS claimed FROM r WHERE path IS NOT NULL""")
 def content_claim(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat_ws("/", "source", F.coalesce("doc_kind", F.lit("none"))).alias("path"), "text")
-    return R.content_claims(docs, "path", F.col("text"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(F.concat_ws("/", "source", F.coalesce("doc_kind", F.lit("none"))).alias("path"), "text", "doc_id")
+    return R.content_claims(docs, "path", F.col("text"), ["doc_id"])
 
 
 @query("""
@@ -270,11 +268,9 @@ def weighted_mode_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT doc_kind, median(n_chars) AS med FROM documents GROUP BY 1)
-SELECT d.doc_kind, m.med AS median_chars, CAST(count(*) FILTER (d.n_chars >= 1.3 * m.med) AS BIGINT) AS n_large FROM documents d JOIN m ON d.doc_kind = m.doc_kind GROUP BY 1, 2""")
+SELECT d.doc_kind, m.med AS median_size, CAST(count(*) FILTER (d.n_chars >= 1.3 * m.med) AS BIGINT) AS n_large FROM documents d JOIN m ON d.doc_kind = m.doc_kind GROUP BY 1, 2""")
 def median_heading(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_kind", "n_chars")
-    med = docs.groupBy("doc_kind").agg(F.median("n_chars").alias("median_chars"))
-    return docs.join(med, "doc_kind").groupBy("doc_kind", "median_chars").agg(F.count_if(F.col("n_chars") >= 1.3 * F.col("median_chars")).alias("n_large"))
+    return R.large_rows(table(spark, d, "documents").select("doc_kind", "n_chars"), "doc_kind", "n_chars", 1.3)
 
 
 @query("""SELECT p_brand, CAST(count(DISTINCT p_type) AS BIGINT) AS n_values, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS all_values FROM part WHERE p_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
@@ -283,11 +279,10 @@ def pin_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT s.k AS state, CAST(count(o_orderkey) AS BIGINT) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(k) LEFT JOIN orders ON o_orderstatus = s.k GROUP BY 1""")
+SELECT s.k AS state, CAST(count(o_orderkey) AS BIGINT) AS n FROM (VALUES ('F'), ('O'), ('X')) s(k) LEFT JOIN orders ON o_orderstatus = s.k GROUP BY 1
+UNION ALL SELECT 'unknown', CAST(count(*) AS BIGINT) FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O', 'X')""")
 def state_counts(spark: SparkSession, d: str) -> DataFrame:
-    counted = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    states = spark.createDataFrame([("F",), ("O",), ("P",), ("X",)], "state string")
-    return states.join(counted, "state", "left").select("state", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return R.counts_by_state(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "X"])
 
 
 # ---- ordered operators ----
@@ -346,14 +341,13 @@ SELECT c.user_id, c.event_id, (SELECT min({'d': abs(p.event_id - c.event_id), 'e
 def nearest_mark(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     marks = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("mark"))
-    return O.nearest_mark(e.where("event_type = 'click'").drop("event_type"), marks, "user_id", "event_id", "mark", ["event_id"]).select("user_id", "event_id", "nearest")
+    return O.nearest_mark(e.where("event_type = 'click'").drop("event_type"), marks, "user_id", "event_id", "mark", ["event_id"], bucket=lambda k: F.shiftright(k, 12)).select("user_id", "event_id", "nearest")
 
 
 @query("""SELECT l_orderkey, l_linenumber, least(200, greatest(CAST(l_linenumber AS BIGINT), CAST(l_linenumber + round_even(l_discount * l_quantity * 4, 0) AS BIGINT))) AS page FROM lineitem""")
 def clamped_round(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    start = F.col("l_linenumber").cast("bigint")
-    return li.select("l_orderkey", "l_linenumber", F.least(F.lit(200).cast("bigint"), F.greatest(start, start + F.bround(F.col("l_discount") * F.col("l_quantity") * 4, 0).cast("bigint"))).alias("page"))
+    page = O.place_in_span(F.col("l_linenumber").cast("bigint"), F.col("l_discount") * F.col("l_quantity"), F.lit(4), F.lit(200).cast("bigint"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", page.alias("page"))
 
 
 @query("""
@@ -361,7 +355,7 @@ WITH r AS (SELECT source, doc_id, sum(CASE WHEN doc_kind = 'synopsis' THEN 1 ELS
 SELECT source, CAST(run AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc FROM r GROUP BY 1, 2""")
 def heading_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "doc_kind")
-    runs = O.runs_by_heading(docs, "source", "doc_id", F.coalesce(F.col("doc_kind") == "synopsis", F.lit(False)))
+    runs = O.runs_by_heading(docs, "source", "doc_id", F.col("doc_kind") == "synopsis", bucket=lambda k: F.shiftright(k, 14))
     return runs.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -371,9 +365,15 @@ def election(spark: SparkSession, d: str) -> DataFrame:
     return R.elect(s, ["s_nationkey"], [F.asc_nulls_last("first_number"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("s_nationkey", "s_suppkey")
 
 
-@query("""SELECT doc_kind, CASE WHEN min(source) = max(source) THEN regexp_extract(min(source), '^(.*/)', 1) ELSE '' END AS directory FROM documents WHERE doc_kind IS NOT NULL GROUP BY 1""")
+@query("""
+WITH u AS (SELECT coalesce(site, '-') AS site, regexp_replace(storyurl, '^[a-z]+:/', '') AS p FROM story_meta WHERE storyurl IS NOT NULL),
+     e AS (SELECT site, min(p) AS lo, max(p) AS hi FROM u GROUP BY site UNION ALL SELECT 'all', min(p), max(p) FROM u),
+     l AS (SELECT site, string_split(lo, '/')[1:-2] AS a, string_split(hi, '/')[1:-2] AS b FROM e),
+     n AS (SELECT *, coalesce(list_max(list_filter(generate_series(1, len(a)), lambda i: a[1:i] = b[1:i])), 0) AS n FROM l)
+SELECT site, CASE WHEN n > 0 THEN array_to_string(a[1:n], '/') || '/' ELSE '' END AS directory FROM n""")
 def common_directory(spark: SparkSession, d: str) -> DataFrame:
-    return O.common_directory(table(spark, d, "documents").where("doc_kind IS NOT NULL"), "doc_kind", "source")
+    u = table(spark, d, "story_meta").where("storyurl IS NOT NULL").select(F.coalesce("site", F.lit("-")).alias("site"), F.regexp_replace("storyurl", "^[a-z]+:/", "").alias("p"))
+    return O.common_directory(u.unionByName(u.withColumn("site", F.lit("all"))), "site", "p")
 
 
 @query("""
@@ -390,7 +390,7 @@ def moved_count(spark: SparkSession, d: str) -> DataFrame:
 # ---- sets, differences, merges, checks ----
 
 
-@query("""SELECT book_key, array_to_string(list_filter(string_split(tags, ','), lambda x: NOT list_contains(['drama', 'heist', 'space opera'], lower(x))), ',') AS own_tags FROM library_books WHERE tags IS NOT NULL""")
+@query("""SELECT book_key, array_to_string(list_filter(string_split(tags, ','), lambda x: NOT list_contains(['drama', 'heist', 'space opera'], lower(nfc_normalize(replace(x, 'ß', 'ss'))))), ',') AS own_tags FROM library_books WHERE tags IS NOT NULL""")
 def folded_set_diff(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "library_books").where("tags IS NOT NULL")
     drop = F.array(*[F.lit(x) for x in ("Drama", "HEIST", "space opera")])
@@ -425,13 +425,16 @@ def links_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT doc_id, text AS base, CASE doc_id % 4 WHEN 1 THEN text || ' app' WHEN 3 THEN text || ' app' ELSE text END AS app, CASE WHEN doc_id % 4 IN (2, 3) THEN text || ' file' WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS file FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN app IS NOT DISTINCT FROM file THEN 'equal' WHEN app = base AND (file IS NULL OR file = base) THEN 'none' WHEN app = base THEN 'take file' WHEN file IS NULL OR file = base THEN 'take app' ELSE 'conflict' END AS action FROM v""")
+WITH v AS (SELECT doc_id, text AS base, CASE doc_id % 4 WHEN 1 THEN text || ' app' WHEN 3 THEN text || ' app' ELSE CASE WHEN doc_id % 9 <> 0 THEN text END END AS app, CASE WHEN doc_id % 4 IN (2, 3) THEN text || ' file' WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS file FROM documents WHERE text IS NOT NULL),
+     a AS (SELECT doc_id, kind, app, file, base, CASE WHEN app IS NULL THEN kind = 'text' AND base <> '' ELSE app <> base END AS am, file IS NOT NULL AND file <> base AS fm FROM v, (VALUES ('text'), ('bytes')) k(kind))
+SELECT doc_id, kind, CASE WHEN app IS NOT DISTINCT FROM file THEN 'equal' WHEN NOT am AND NOT fm THEN 'none' WHEN NOT am THEN 'take file' WHEN NOT fm THEN 'take app' ELSE 'conflict' END AS action FROM a""")
 def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     t, k = F.col("text"), F.col("doc_id") % 4
-    app = F.when(k.isin(1, 3), F.concat(t, F.lit(" app"))).otherwise(t)
+    app = F.when(k.isin(1, 3), F.concat(t, F.lit(" app"))).when(F.col("doc_id") % 9 != 0, t)
     file = F.when(k.isin(2, 3), F.concat(t, F.lit(" file"))).when(F.col("doc_id") % 10 == 0, F.lit(None).cast("string")).otherwise(t)
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", C.three_way(app, file, F.sha2("text", 256), True).alias("action"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    both = F.array(*[F.struct(F.lit(n).alias("kind"), C.three_way(app, file, F.sha2("text", 256), n == "text").alias("action")) for n in ("text", "bytes")])
+    return docs.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.kind", "x.action")
 
 
 @query("""
@@ -496,11 +499,15 @@ def isbn13(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT listing_id, CAST(floor(rate_all) AS INT) AS r FROM stories)
-SELECT listing_id, CASE WHEN r BETWEEN 1 AND 5 THEN repeat('★', r) || repeat('☆', 5 - r) END AS tag, CASE WHEN r BETWEEN 1 AND 5 THEN r END AS back FROM r""")
+WITH r AS (SELECT listing_id, CAST(floor(rate_all) AS INT) AS r, CASE listing_id % 4 WHEN 0 THEN 'rating:' || (listing_id % 8) WHEN 1 THEN repeat('★', CAST(listing_id % 7 AS INT)) WHEN 2 THEN repeat('☆', CAST(listing_id % 6 AS INT)) ELSE 'drama' END AS other FROM stories)
+SELECT listing_id, CASE WHEN r BETWEEN 1 AND 5 THEN repeat('★', r) || repeat('☆', 5 - r) END AS tag, CASE WHEN r BETWEEN 1 AND 5 THEN r END AS back, other,
+ CASE listing_id % 4 WHEN 0 THEN CASE WHEN listing_id % 8 <= 5 THEN CAST(listing_id % 8 AS INT) END WHEN 1 THEN CASE WHEN listing_id % 7 BETWEEN 1 AND 5 THEN CAST(listing_id % 7 AS INT) END WHEN 2 THEN CASE WHEN listing_id % 6 = 5 THEN 0 END END AS other_rating,
+ listing_id % 4 = 0 OR (listing_id % 4 = 1 AND listing_id % 7 BETWEEN 1 AND 5) OR (listing_id % 4 = 2 AND listing_id % 6 = 5) AS rating_like FROM r""")
 def star_tags(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "stories").select("listing_id", S.star_tag(F.floor("rate_all").cast("int")).alias("tag"))
-    return r.withColumn("back", S.rating_of_tag(F.col("tag")))
+    k = F.col("listing_id")
+    other = F.when(k % 4 == 0, F.concat(F.lit("rating:"), k % 8)).when(k % 4 == 1, F.repeat(F.lit("★"), (k % 7).cast("int"))).when(k % 4 == 2, F.repeat(F.lit("☆"), (k % 6).cast("int"))).otherwise("drama")
+    r = table(spark, d, "stories").select("listing_id", S.star_tag(F.floor("rate_all").cast("int")).alias("tag"), other.alias("other"))
+    return r.select("*", S.rating_of_tag(F.col("tag")).alias("back"), S.rating_of_tag(F.col("other")).alias("other_rating"), F.coalesce(S.is_rating_like(F.col("other")), F.lit(False)).alias("rating_like"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')[1:12], ' ') AS opening FROM documents WHERE text IS NOT NULL""")
@@ -569,7 +576,7 @@ def chapter_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stories").where("title IS NOT NULL").select("listing_id", S.chapter_number(F.col("title"))["number"].alias("number"))
 
 
-@query("""SELECT book_key, lower(nfc_normalize(title)) AS folded FROM library_books WHERE strpos(title, 'ß') = 0""")
+@query("""SELECT book_key, lower(nfc_normalize(replace(title, 'ß', 'ss'))) AS folded FROM library_books""")
 def unicode_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "library_books").select("book_key", S.nfc_casefold(F.col("title")).alias("folded"))
 
@@ -578,10 +585,16 @@ def unicode_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT unnest(regexp_extract_all(content, '<([A-Za-z][A-Za-z0-9]*)(?:\\s[^<>]*)?>', 1)) AS tag FROM posts)
-SELECT lower(tag) AS tag, '' AS classes, '' AS element_id, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1""")
+WITH t AS (SELECT lower(unnest(regexp_extract_all(content, '<([A-Za-z][A-Za-z0-9]*)(?:\\s[^<>]*)?>', 1))) AS tag FROM posts),
+     p AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'p' ELSE 'div' END AS tag, CASE WHEN p_size % 3 = 0 THEN '' WHEN lower(p_type) < 'note' THEN lower(p_type) || ' note' ELSE 'note ' || lower(p_type) END AS classes, CASE WHEN p_size % 5 = 0 THEN 's' || p_size ELSE '' END AS element_id FROM part)
+SELECT tag, classes, element_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT tag, '' AS classes, '' AS element_id FROM t UNION ALL SELECT * FROM p) GROUP BY ALL""")
 def tag_census(spark: SparkSession, d: str) -> DataFrame:
-    return M.tag_census(M.start_tags(table(spark, d, "posts"), "post_id", "content"))
+    p = table(spark, d, "part")
+    tag = F.when(p.p_size % 2 == 0, "P").otherwise("div")
+    classes = F.when(p.p_size % 3 != 0, F.concat(F.lit(" class='note "), F.lower("p_type"), F.lit("  note'"))).otherwise("")
+    ident = F.when(p.p_size % 5 == 0, F.concat(F.lit(' id="s'), "p_size", F.lit('"'))).otherwise("")
+    made = p.select(F.col("p_partkey").alias("post_id"), F.concat(F.lit("<"), tag, classes, ident, F.lit(">x")).alias("content"))
+    return M.tag_census(M.start_tags(table(spark, d, "posts").select("post_id", "content").unionByName(made), "post_id", "content"))
 
 
 _CSS_SQL = """'p { color: red; font-size: ' || p_size || 'px; margin: 1vw } /* x */ h1 { position: absolute; font-family: monospace; text-indent: 1em }'"""
@@ -616,13 +629,12 @@ def repointed_links(spark: SparkSession, d: str) -> DataFrame:
     return M.repoint_links(docs, mapping, "doc_kind", "doc_id", "text", "old", "new").select("doc_id", "text")
 
 
-@query("""
-WITH n AS (SELECT DISTINCT site, split_part(authorname, ' ', 1) AS name FROM stories WHERE site IS NOT NULL AND authorname IS NOT NULL)
-SELECT site, name FROM n WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.site = n.site AND contains(lower(p.content), lower(n.name)))""")
+@query(None)
 def unreferenced_names(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "stories").where("site IS NOT NULL AND authorname IS NOT NULL").select("site", F.substring_index("authorname", " ", 1).alias("name")).distinct()
-    p = table(spark, d, "posts").where("site IS NOT NULL AND content IS NOT NULL").select(F.col("site"), "content")
-    return M.unreferenced(n, p, "site", "name", "content")
+    """Whole names; a nested-loop statement over whole tables is too slow for DuckDB, the operator is tested by brute force."""
+    n = table(spark, d, "stories").where("site IS NOT NULL AND authorname IS NOT NULL").select("site", F.col("authorname").alias("name")).distinct()
+    p = table(spark, d, "posts").where("site IS NOT NULL AND content IS NOT NULL").select("site", "post_id", "content")
+    return M.unreferenced(n, p, "site", "name", "post_id", "content")
 
 
 @query(None)
@@ -650,10 +662,19 @@ def page_feed(spark: SparkSession, d: str) -> DataFrame:
     return feeds.page_feed(table(spark, d, "stories"), "site", "loaded_at", F.lit("2025-06-01").cast("timestamp_ntz")).select("listing_id")
 
 
-@query("""SELECT DISTINCT CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events WHERE props IS NOT NULL""")
+@query("""
+WITH e AS (SELECT user_id % 50 AS report, CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events WHERE props IS NOT NULL)
+SELECT DISTINCT report, 'p' || k AS package, '1.' || report AS installed, CASE WHEN k % 2 = 0 THEN '2.0' END AS fixed, 'A-' || event_type AS advisory, CASE WHEN k % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity FROM e WHERE k IS NOT NULL""")
 def nested_findings(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("props IS NOT NULL")
-    return e.select(F.from_json("props", "k int")["k"].alias("k"), "event_type").distinct()
+    e = table(spark, d, "events").where("props IS NOT NULL").select((F.col("user_id") % 50).alias("report"), F.from_json("props", "k int")["k"].alias("k"), "event_type").where("k IS NOT NULL")
+    found = F.struct(
+        F.concat(F.lit("p"), "k").alias("PkgName"), F.concat(F.lit("1."), "report").alias("InstalledVersion"), F.when(F.col("k") % 2 == 0, "2.0").alias("FixedVersion"),
+        F.concat(F.lit("A-"), "event_type").alias("VulnerabilityID"), F.when(F.col("k") % 3 == 0, "HIGH").otherwise("LOW").alias("Severity"),
+    )
+    # Every second finding stands alone where a list is meant, and some results have none.
+    listed = F.when(F.col("k") % 5 == 0, F.to_json(found)).otherwise(F.to_json(F.array(found, found)))
+    report = F.concat(F.lit('{"Results": [{"Target": "empty"}, {"Vulnerabilities": '), listed, F.lit("}]}"))
+    return P.report_findings(e.select("report", report.alias("payload")), "report", "payload")
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -662,22 +683,31 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
 
 
-def _run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+def _run(spark: SparkSession, stream: DataFrame, label: str, latest_by: list[str] | None = None) -> DataFrame:
     import uuid
 
     from folioworks.session import shared_dir
 
-    run = uuid.uuid4().hex
-    return feeds.run_available(stream, f"{label}_{run}", f"{shared_dir(spark)}/folioworks/stream-{run}")
+    return feeds.run_available(stream, f"{shared_dir(spark)}/folioworks/stream-{label}-{uuid.uuid4().hex}", latest_by)
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d, "events").select("user_id", "ts")
-    return _run(spark, feeds.first_seen(s, "user_id", "ts", "60 days"), "first_seen").select("user_id")
+    return _run(spark, feeds.first_seen(s, "user_id", "ts", "60 days"), "first-seen").select("user_id")
 
 
-@query(None)
+@query("""SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_us, event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d, "events").select("ts", "event_type")
-    return _run(spark, feeds.counts_by_window(s, "ts", "10 minutes", "1 hour", ["event_type"]), "counts")
+    counts = feeds.counts_by_window(s, "ts", "10 minutes", "1 hour", ["event_type"])
+    return _run(spark, counts, "counts", ["window_start", "event_type"]).select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+
+
+@query("""
+WITH o AS (SELECT user_id, event_type, epoch_us(ts) AS at_us, lag(event_type) OVER w AS last_type, lag(epoch_us(ts)) OVER w AS last_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_type))
+SELECT user_id, event_type, CAST(at_us AS BIGINT) AS at_us FROM o WHERE last_us IS NULL OR event_type IS DISTINCT FROM last_type OR at_us - last_us > 86400000000""")
+def echo_suppression(spark: SparkSession, d: str) -> DataFrame:
+    """A value that a key just had is an echo within a day."""
+    s = _stream(spark, d, "events").select("user_id", "event_type", "ts")
+    return _run(spark, feeds.suppress_echoes(s, "user_id", "event_type", "ts", 86_400_000), "echoes")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioworks.functions import scalars as S
+from folioworks.operators import assembly as A
 from folioworks.operators import changes as C
 from folioworks.operators import markup as M
 from folioworks.operators import ordering as O
@@ -166,10 +167,50 @@ def test_paged_listing(spark, tmp_path):
 
 def test_echoes_are_suppressed(spark, tmp_path):
     src = tmp_path / "in"
-    spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], "k string, v string").coalesce(1).write.json(str(src))
-    stream = spark.readStream.schema("k string, v string").json(str(src))
-    got = feeds.run_available(feeds.suppress_echoes(stream, "k", "v", 60_000), "echo", str(tmp_path / "cp"))
-    assert sorted(map(tuple, got.collect())) == [("a", "1"), ("b", "1")]
+    rows = [("a", "1", 0), ("a", "1", 30), ("a", None, 40), ("a", None, 41), ("b", "1", 5), ("a", "1", 50), ("a", "1", 200), ("b", "1", None)]
+    spark.createDataFrame(rows, "k string, v string, s long").selectExpr("k", "v", "timestamp_seconds(s) t").repartition(3).write.parquet(str(src))
+    stream = spark.readStream.schema("k string, v string, t timestamp").parquet(str(src))
+    got = feeds.run_available(feeds.suppress_echoes(stream, "k", "v", "t", 60_000), str(tmp_path / "out"))
+    assert sorted((r.k, r.v, r.at_us // 1_000_000) for r in got.collect() if r.v) == [("a", "1", 0), ("a", "1", 50), ("a", "1", 200), ("b", "1", 5)]
+    assert [(r.k, r.at_us) for r in got.collect() if r.v is None] == [("a", 40_000_000)]
+
+
+def test_open_windows_come_out(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([("x", 0), ("x", 10), ("y", 4000), ("x", None)], "k string, s long").selectExpr("k", "timestamp_seconds(s) t").write.parquet(str(src))
+    stream = spark.readStream.schema("k string, t timestamp").parquet(str(src))
+    got = feeds.run_available(feeds.counts_by_window(stream, "t", "10 minutes", "1 hour", ["k"]), str(tmp_path / "out"), ["window_start", "k"])
+    assert sorted((r.k, r.n) for r in got.collect()) == [("x", 2), ("y", 1)]
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "none"))
+    assert feeds.run_available(feeds.counts_by_window(empty, "t", "10 minutes", "1 hour", ["k"]), str(tmp_path / "out2"), ["window_start", "k"]).count() == 0
+
+
+def test_whole_names_are_looked_for(spark):
+    names = spark.createDataFrame([("s", "Mira Toranby"), ("s", "mira toran"), ("s", "Jo"), ("s", "Xy"), ("t", "Mira Toranby"), (None, "Nils"), ("s", None)], "site string, name string")
+    posts = spark.createDataFrame([("s", 1, "by MIRA TORANBY, and Jon"), ("t", 2, "mira of toranby " * 50), ("s", 3, None)], "site string, post_id long, content string")
+    got = M.unreferenced(names, posts, "site", "name", "post_id", "content").collect()
+    assert {(r.site, r.name) for r in got} == {("s", "Xy"), ("t", "Mira Toranby"), (None, "Nils"), ("s", None)}
+
+
+def test_addresses_of_chapters(spark):
+    rows = [("a", 1, None, "http://x/a", False), ("b", 1, None, "http://x/b", False), ("b", 2, "", "http://x/b", False), ("c", 1, "http://own", "http://x/c", False), ("c", 2, None, "http://x/c", False), ("d", 1, None, "http://x/d", True), ("d", 2, "http://own", "http://x/d", False), ("e", 1, None, None, False)]
+    df = spark.createDataFrame(rows, "book string, pos int, own string, of string, title boolean")
+    got = {(r.book, r.pos): r.url for r in A.stamp_addresses(df, "book", "own", F.col("of"), F.col("title")).collect()}
+    assert got == {("a", 1): "http://x/a", ("b", 1): "http://x/b", ("b", 2): "http://x/b", ("c", 1): "http://own", ("c", 2): None, ("d", 1): None, ("d", 2): "http://x/d", ("e", 1): None}
+
+
+def test_splicing_follows_the_present_order(spark):
+    # automatic order a b c d e, present order e d c b a, stored a=1, c=0
+    rows = [(k, i, 5 - i, {"a": 1, "c": 0}.get(k)) for i, k in enumerate("abcde", 1)]
+    df = spark.createDataFrame(rows, "k string, auto int, nav int, stored int").withColumn("doc", F.lit(1))
+    got = [r.k for r in O.splice_order(df, "doc", "auto", "stored", "nav").orderBy("new_pos").collect()]
+    result = ["c", "a"]
+    for k in "edcba":  # one by one, directly behind the nearest earlier stored one
+        if k not in "ac":
+            anchor = next((x for x in reversed("abcde"[: "abcde".index(k)]) if x in "ac"), None)
+            result.insert(result.index(anchor) + 1 if anchor else 0, k)
+    assert got == result
 
 
 def test_markers(spark):
