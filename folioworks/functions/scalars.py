@@ -33,6 +33,16 @@ CLAIMS = {"docx": "docx", "pdf": "pdf", "rtf": "rtf", "text": "txt|md|markdown",
 PIXELS = {"px": 1.0, "pt": 4.0 / 3.0, "pc": 16.0, "in": 96.0, "cm": 96.0 / 2.54, "mm": 96.0 / 25.4, "q": 96.0 / 101.6}
 
 
+def format_of_mime(c: Column) -> Column:
+    """The file format of a media type, parameters and case aside; an unknown one is an epub."""
+    return mapped(F.lower(F.trim(F.substring_index(c, ";", 1))), FORMAT_OF_MIME, "epub")
+
+
+def image_type(extension: Column) -> Column:
+    """The media type of an image by its extension, with or without the dot; png where unknown."""
+    return mapped(F.lower(F.regexp_replace(extension, r"^\.", "")), IMAGE_TYPES, "image/png")
+
+
 @F.pandas_udf(StringType())
 def nfc_casefold(s: pd.Series) -> pd.Series:
     """Composed and case-folded text: the equality of names throughout."""
@@ -83,7 +93,7 @@ def int_list(c: Column) -> Column:
 
 def string_list(c: Column) -> Column:
     """The non-blank elements of a comma list, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug_title(c: Column) -> Column:
@@ -97,8 +107,9 @@ def number_text(c: Column) -> Column:
 
 
 def identifier(c: Column, scheme: str) -> Column:
-    """The value behind 'scheme:' in a comma list of identifiers; later colons belong to the value."""
-    return blank_to_null(F.regexp_extract(c, rf"(?:^|,)\s*{scheme}:([^,]*)", 1))
+    """The first non-blank value behind 'scheme:' in a comma list of identifiers; schemes are compared without case and blanks, later
+    colons belong to the value."""
+    return blank_to_null(F.regexp_extract(c, rf"(?i)(?:^|,)\s*{scheme}\s*:\s*([^,\s][^,]*)", 1))
 
 
 def isbn13(c: Column) -> Column:
@@ -246,3 +257,48 @@ def chapter_number(label: Column) -> Column:
     p = lambda i: F.nullif(F.regexp_extract(F.lower(label), pattern, i), F.lit(""))
     n = p(1).try_cast("int")
     return F.when(n.isNotNull(), F.struct(n.alias("number"), F.coalesce(p(2).try_cast("int"), F.lit(0)).alias("range_end"), F.coalesce(p(3), F.lit("")).alias("letter")))
+
+
+def float_or_null(c: Column) -> Column:
+    """A number with blanks around it; else null."""
+    return F.trim(c).try_cast("double")
+
+
+def real_instant(c: Column) -> Column:
+    """A time stamp's text, null where it is of the year 1, which stands for never."""
+    return F.when(~c.startswith("0001-01-01"), c)
+
+
+def display_title(record: Column, other: Column) -> Column:
+    """The record's title as it stands unless blank, else the other one unless blank, else ''."""
+    return F.when(blank_to_null(record).isNotNull(), record).when(blank_to_null(other).isNotNull(), other).otherwise(F.lit(""))
+
+
+def tag_keys(setting: Column, default: list[str], never: list[str]) -> Column:
+    """The names of a comma list, trimmed, without empty ones and those that are never tags; null gives the default."""
+    names = F.filter(F.transform(F.split(setting, ","), lambda x: F.trim(x)), lambda n: (n != "") & ~n.isin(*never))
+    return F.when(setting.isNull(), F.array(*[F.lit(d) for d in default])).otherwise(names)
+
+
+def listed(words: Column) -> Column:
+    """'a', 'a and b', 'a, b and c'; '' for none."""
+    n = F.size(words)
+    return F.when(n > 1, F.concat(F.array_join(F.slice(words, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(words, -1))).otherwise(F.coalesce(F.get(words, F.lit(0)), F.lit("")))
+
+
+def line_numbers(numbers: Column) -> Column:
+    """'line 2', 'lines 2 and 3'."""
+    return F.concat(F.when(F.size(numbers) == 1, "line ").otherwise("lines "), listed(F.transform(numbers, lambda x: x.cast("string"))))
+
+
+def whole_or_zero(setting: Column) -> Column:
+    """A setting's whole number, 0 where it has none or a negative one."""
+    return F.greatest(F.coalesce(F.trim(setting).try_cast("int"), F.lit(0)), F.lit(0))
+
+
+def meets(field: Column, custom: Column, name: str, least: float) -> Column:
+    """A threshold on a field, else on the custom map (of VARIANT) where the field is missing: numbers and booleans count, texts never do."""
+    held = F.try_element_at(custom, F.lit(name))
+    kind = F.schema_of_variant(held)
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(held, "$", "int").cast("double")).when(kind != "STRING", F.try_variant_get(held, "$", "double"))
+    return F.coalesce(F.coalesce(field.cast("double"), number) >= least, F.lit(False))

@@ -51,10 +51,11 @@ def budget_antijoin(df: DataFrame, known: DataFrame, key: str, order: list[Colum
     return df.join(known.select(key).distinct(), key, "left_anti").orderBy(*order).limit(budget)
 
 
-def mark_within_budget(df: DataFrame, known: DataFrame, key: str, order: list[Column], budget: int) -> DataFrame:
-    """All rows, with ``chosen``: whether the budget reaches them."""
-    chosen = budget_antijoin(df, known, key, order, budget).select(key).distinct().withColumn("__in", F.lit(True))
-    return df.join(chosen, key, "left").withColumn("chosen", F.coalesce("__in", F.lit(False))).drop("__in")
+def mark_within_budget(df: DataFrame, known: DataFrame, key: str, order: list[Column], budget: int, row: str | None = None) -> DataFrame:
+    """All rows, with ``chosen``: whether the budget reaches them. ``row`` names the rows' own key, by default ``key``."""
+    row = row or key
+    chosen = budget_antijoin(df, known, key, order, budget).select(row).distinct().withColumn("__in", F.lit(True))
+    return df.join(F.broadcast(chosen), row, "left").withColumn("chosen", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
 def unique_or_null(df: DataFrame, other: DataFrame, key: Column, other_key: Column, value: str, out: str) -> DataFrame:
