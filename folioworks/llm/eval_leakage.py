@@ -2,9 +2,10 @@
 
 Each task cuts its documents into shards of bounded size, builds the word-level suffix array of a shard by prefix doubling
 in numpy, and binary-searches every suffix of every evaluation item in it. That gives all verbatim matches of at least
-``seed`` words. Each maximal match is then measured to its full length and, across one changed, missing or added word, to
-the length of the passage. With one error in ``passage`` words one side of it has at least ``passage // 2`` words
-verbatim, so a seed of that length misses nothing. The corpus is never shuffled.
+``seed`` words. The ranks of all depths are kept: two suffixes are equal as far as their ranks are, and beyond the greatest depth the
+ranks of the places further on continue the comparison, so every match is measured to its full length by the array, many at
+once. Each maximal match is then carried on across one changed, missing or added word. With one error in ``passage`` words one
+side of it has at least ``passage // 2`` words verbatim, so a seed of that length misses nothing. The corpus is never shuffled.
 
 Words are what white space separates, after character references, markup, case, accents, punctuation, Unicode form and
 hyphens at line ends are taken away; what is punctuation only is no word.
@@ -56,55 +57,65 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_keys(words: np.ndarray, depth: int) -> np.ndarray:
-    """For each place a number that orders, and tells apart, the suffixes by their first ``depth`` words (prefix doubling)."""
+def suffix_ranks(words: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(d, ranks) for d = 1, 2, 4, ... and at last ``depth``: ranks order, and tell apart, the suffixes by their first d words (prefix doubling)."""
     n, have = len(words), 1
-    rank = _ranks(words)
+    out = [(1, _ranks(words))]
     while have < depth:
         step = min(have, depth - have)
+        rank = out[-1][1]
         nxt = np.concatenate([rank[step:], np.full(step, -1, dtype=np.int64)]) + 1
-        rank = _ranks(rank * (n + 2) + nxt)
         have += step
-    return rank
-
-
-def _run(a: np.ndarray, i: int, b: np.ndarray, j: int, way: int, most: int) -> int:
-    """Equal words from a[i] and b[j] on, forwards or backwards."""
-    n = 0
-    while n < most and 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j]:
-        n, i, j = n + 1, i + way, j + way
+        out.append((have, _ranks(rank * (n + 2) + nxt)))
+    return out
+
+
+def common_words(ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at ``i`` and ``j`` have in common from their beginnings. Texts end in words of their own, so no run passes an end."""
+    last = len(ranks[0][1]) - 1
+    total = np.zeros(len(i), dtype=np.int64)
+    depth, deepest = ranks[-1]
+    on = np.arange(len(i))
+    while len(on):
+        on = on[deepest[np.minimum(i[on] + total[on], last)] == deepest[np.minimum(j[on] + total[on], last)]]
+        total[on] += depth
+    for d, rank in reversed(ranks[:-1]):
+        total += d * (rank[np.minimum(i + total, last)] == rank[np.minimum(j + total, last)])
+    return total
+
+
+def _behind(words: np.ndarray, i: np.ndarray, j: np.ndarray, first_i: np.ndarray, first_j: np.ndarray, most: int) -> np.ndarray:
+    """Equal words from ``i`` and ``j`` backwards, ``most`` at most; only those still equal are looked at again."""
+    n = np.zeros(len(i), dtype=np.int64)
+    on = np.arange(len(i))
+    for t in range(most):
+        a, b = i[on] - t, j[on] - t
+        on = on[(a >= first_i[on]) & (b >= first_j[on]) & (words[a] == words[b])]
+        if not len(on):
+            break
+        n[on] += 1
     return n
 
 
-def _passage(item: np.ndarray, q: int, doc: np.ndarray, p: int, length: int) -> int:
-    """Most consecutive item words around a match that the document holds with at most one word changed, missing or added."""
-    best = length
-    for way, i, j in ((1, q + length, p + length), (-1, q - 1, p - 1)):
-        inside = 0 <= i < len(item)
-        changed = 1 + _run(item, i + way, doc, j + way, way, len(item)) if inside else 0
-        missing = 1 + _run(item, i + way, doc, j, way, len(item)) if inside else 0
-        added = _run(item, i, doc, j + way, way, len(item))
-        best = max(best, length + max(changed, missing, added))
-    return best
-
-
-def shard_matches(items: list[tuple[int, np.ndarray]], docs: list[tuple[int, np.ndarray]], passage: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(item id, doc id, passage words, longest verbatim words, item offset, document offset) of the items in one shard."""
+def shard_matches(items: list[tuple[int, np.ndarray]], docs: list[tuple[int, np.ndarray]], passage: int) -> np.ndarray:
+    """Rows (item id, doc id, passage words, verbatim words, item offset, document offset) of the items in one shard: of each pair the longest
+    passage, of equal ones the one with the longest verbatim match, then the first."""
+    none = np.zeros((0, 6), dtype=np.int64)
     seed = passage // 2
-    parts, starts, at = [], [], 0
+    if not docs or not items:
+        return none
+    parts, sizes = [], np.array([len(w) + 1 for _, w in [*items, *docs]])
     for k, (_, w) in enumerate([*items, *docs]):
-        starts.append(at)
         parts += [w, np.array([-(k + 2)], dtype=np.int64)]  # ends no two texts share
-        at += len(w) + 1
-    if not docs or not items:
-        return
-    words, starts = np.concatenate(parts), np.array(starts)
+    words = np.concatenate(parts)
+    ends = np.cumsum(sizes) - 1
+    starts = ends - sizes + 1
     # Hashes are made non-negative and text ends are negative, so no match crosses a text's end.
-    keys = suffix_keys(words, seed)
-    first_doc = starts[len(items)]
+    ranks = suffix_ranks(words, seed)
+    keys, first_doc = ranks[-1][1], starts[len(items)]
     order = np.argsort(keys[first_doc:], kind="stable")  # the shard's suffix array
     ordered = keys[first_doc:][order]
-    queries = np.concatenate([np.arange(s, s + max(0, len(w) - seed + 1)) for s, (_, w) in zip(starts, items)]) if items else np.array([], dtype=np.int64)
+    queries = np.concatenate([np.arange(s, s + max(0, len(w) - seed + 1)) for s, (_, w) in zip(starts, items)])
     low, high = np.searchsorted(ordered, keys[queries], "left"), np.searchsorted(ordered, keys[queries], "right")
     hits = high - low
     q = np.repeat(queries, hits)
@@ -112,16 +123,29 @@ def shard_matches(items: list[tuple[int, np.ndarray]], docs: list[tuple[int, np.
     # Only left-maximal matches: the words before differ, or one of the texts begins.
     left = (q == 0) | (words[np.maximum(q - 1, 0)] != words[p - 1]) | (words[p - 1] < 0)
     q, p = q[left], p[left]
-    of_q, of_p = np.searchsorted(starts, q, "right") - 1, np.searchsorted(starts, p, "right") - 1 - len(items)
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for a, b, i, j in zip(of_q.tolist(), of_p.tolist(), (q - starts[of_q]).tolist(), (p - starts[of_p + len(items)]).tolist()):
-        item, doc = items[a][1], docs[b][1]
-        length = _run(item, i, doc, j, 1, len(item))
-        held = _passage(item, i, doc, j, length)
-        if held >= passage and (held, length) > best.get((a, b), (0, 0))[:2]:
-            best[(a, b)] = (held, length, i, j)
-    for (a, b), found in best.items():
-        yield (items[a][0], docs[b][0], *found)
+    if not len(q):
+        return none
+    of_q, of_p = np.searchsorted(starts, q, "right") - 1, np.searchsorted(starts, p, "right") - 1
+    length = common_words(ranks, q, p)
+    # Ahead: one word changed, missing or added, then what follows. A document's end has nothing behind it.
+    i, j = q + length, p + length
+    inside, more = i < ends[of_q], j < ends[of_p]
+    ahead = np.where(inside, 1 + np.where(more, common_words(ranks, i + 1, j + 1), 0), 0)
+    ahead = np.maximum(ahead, np.where(inside, 1 + common_words(ranks, i + 1, j), 0))
+    ahead = np.maximum(ahead, np.where(more, common_words(ranks, i, j + 1), 0))
+    # Behind: the same, the other way.
+    i, j, longest = q - 1, p - 1, int(sizes[: len(items)].max())
+    inside = i >= starts[of_q]
+    back = lambda a, b: _behind(words, a, b, starts[of_q], starts[of_p], longest)
+    before = np.where(inside, 1 + np.maximum(back(i - 1, j - 1), back(i - 1, j)), 0)
+    before = np.maximum(before, back(i, j - 1))
+    held = length + np.maximum(ahead, before)
+    keep = np.flatnonzero(held >= passage)
+    best = keep[np.lexsort((p[keep], q[keep], -length[keep], -held[keep], of_p[keep], of_q[keep]))]
+    new = np.concatenate([[True], (of_q[best][1:] != of_q[best][:-1]) | (of_p[best][1:] != of_p[best][:-1])]) if len(best) else np.zeros(0, dtype=bool)
+    best = best[new]
+    item_ids, doc_ids = np.array([i for i, _ in items], dtype=np.int64), np.array([d for d, _ in docs], dtype=np.int64)
+    return np.stack([item_ids[of_q[best]], doc_ids[of_p[best] - len(items)], held[best], length[best], (q - starts[of_q])[best], (p - starts[of_p])[best]], axis=1)
 
 
 def _hashed(words: list[str]) -> np.ndarray:
@@ -149,9 +173,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, passage: int = PASSA
             size += len(w)
 
         def flush(docs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            rows = [r for b in blocks for r in shard_matches(b, docs, passage)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["item_id", "doc_id", "passage_words", "verbatim_words", "item_word", "doc_word"])
+            rows = np.concatenate([shard_matches(b, docs, passage) for b in blocks])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["item_id", "doc_id", "passage_words", "verbatim_words", "item_word", "doc_word"])
 
         docs, have = [], 0
         for b in batches:

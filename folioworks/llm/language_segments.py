@@ -5,8 +5,8 @@ distance: for each n-gram of the text the difference of its rank in the text and
 value where the profile lacks it. Sentences are the units; a Viterbi pass joins them into segments, paying for each
 change of language, and a stretch of fewer than ``min_words`` words never starts a segment of its own.
 
-The profiles are trained on the reliable texts given, and on a bounded sample of the labelled documents of which only
-those are kept that the first profiles confirm. Their number is a parameter; everything else runs over whole texts.
+The profiles are trained on a bounded sample of the labelled documents (and on reliable texts, where there are any): first on all of
+it, then only on the sentences that the first profiles confirm. Its size is a parameter; everything else runs over whole texts.
 
 Units of a batch are ranked together in numpy: words are looked up once per spelling, and two sorts give all ranks.
 

@@ -68,9 +68,8 @@ def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that remain once every leaking row is removed."""
-    docs = table(spark, sf_dir, "documents")
-    return clean_documents(docs.select("doc_id", "source", "n_chars"), p7_matches(spark, sf_dir))
+    """The documents, whole, that remain once every leaking row is removed."""
+    return clean_documents(table(spark, sf_dir, "documents"), p7_matches(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +81,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every document."""
     docs = table(spark, sf_dir, "documents")
-    # The evaluation items are few and their language is sure.
-    sure = [(r[0], r[1]) for r in table(spark, sf_dir, "eval_items").select("item_lang", "text").where("text IS NOT NULL AND item_lang IS NOT NULL").limit(2000).collect()]
-    return language_segments(docs, train_profiles(sure, labelled_sample(docs)))
+    return language_segments(docs, train_profiles([], labelled_sample(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -115,17 +115,19 @@ def term_counts(df: DataFrame, field_col: str, record_col: str, array_col: str,
 
     parted = materialize(rows.mapInArrow(split_heavy, "field_name string, record long, words array<long>, light array<string>, counters array<long>"), label + "-split")
 
-    # Light terms: one shuffle by term; local duplicates of a record are merged before it.
+    # Light terms: one shuffle, by term, which serves both aggregations. None of them is hot, as the heavy ones are out.
     light = (
         parted.select("field_name", "record", F.explode_outer("light").alias("term"))
         .where(F.col("term").isNotNull())
+        .repartition("field_name", "term")
         .groupBy("field_name", "term", "record")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("field_name", "term")
         .agg(F.sum("n").alias("n_occurrences"), F.count("record").alias("n_records"))
     )
 
-    # Heavy terms by record: bit sets joined by or, then one counter array a partition.
+    # Heavy terms by record: bit sets joined by or, then one counter array a partition. Records without a heavy term are among them, as
+    # they too are records.
     sets = parted.where(F.col("words").isNotNull() & F.col("record").isNotNull())
     sets = sets.groupBy("field_name", "record").agg(*[F.bit_or(F.col("words")[i]).alias(f"w{i}") for i in range(_WORDS)])
 
@@ -147,7 +149,7 @@ def term_counts(df: DataFrame, field_col: str, record_col: str, array_col: str,
     by_row = by_row.groupBy("field_name", "i").agg(F.sum("n").alias("n_occurrences"))
     # All of these have at most (HEAVY + 1) rows a field.
     names = spark.createDataFrame([(f, i, t) for f, ts in heavy.items() for i, t in enumerate(ts)], "field_name string, i int, term string")
-    by_record = by_record.persist()
+    by_record = spark.createDataFrame(by_record.collect(), by_record.schema)
     totals = by_record.where(F.col("i") == HEAVY).select("field_name", F.col("n_records").alias("total_records"))
     heavy_table = (
         names.join(by_row, ["field_name", "i"])

@@ -258,11 +258,17 @@ def test_words():
     assert leakage.words_of("<p>Café\u00a0&amp; “Ex-\n am</p><p>ple\u200b</p> naïve— — <i>in</i>side") == ["cafe", "exam", "ple", "naive", "inside"]
 
 
-def test_suffix_keys_order_suffixes():
-    w = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1], dtype=np.int64)
-    keys = leakage.suffix_keys(w, 3)
-    subs = [tuple(w[i : i + 3]) for i in range(len(w))]
-    assert all((keys[i] < keys[j]) == (subs[i] < subs[j]) for i in range(len(w)) for j in range(len(w)))
+def test_ranks_order_suffixes_and_measure_matches():
+    rng = np.random.default_rng(5)
+    w = np.concatenate([rng.integers(0, 2, 60), [-2], np.tile([3, 1, 2], 12), [-3], np.tile([3, 1, 2], 14), [-4]])
+    ranks = leakage.suffix_ranks(w, 6)
+    for depth, rank in ranks:
+        subs = [tuple(w[i : i + depth]) for i in range(len(w))]
+        assert all((rank[i] < rank[j]) == (subs[i] < subs[j]) for i in range(len(w)) for j in range(len(w)))
+    pairs = [(i, j) for i in range(len(w)) for j in range(len(w)) if i != j]
+    got = leakage.common_words(ranks, *(np.array(x) for x in zip(*pairs)))
+    for (i, j), n in zip(pairs, got):
+        assert n == next(k for k in range(len(w)) if max(i, j) + k >= len(w) or w[i + k] != w[j + k])
 
 
 # ---- problem 8 ----
