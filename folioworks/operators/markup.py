@@ -8,11 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Style properties by what is decided about them.
-COLOUR_PROPERTIES = ["color", "background-color", "border-color", "outline-color"]
-REMOVED_PROPERTIES = ["position", "float", "line-height", "text-shadow", "letter-spacing", "word-spacing"]
-# Presentational attributes and the elements that lose them ('*': all).
-PRESENTATION = {"bgcolor": "*", "background": "*", "color": "font", "face": "font", "size": "font", "text": "body", "link": "body", "vlink": "body", "alink": "body"}
 _TAG = r"<([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)>"
 
 
@@ -42,37 +37,6 @@ def names_only_on(tags: DataFrame, name: Column, roots: list[str]) -> DataFrame:
     return named.groupBy("name").agg(F.bool_and("root").alias("only")).where("only").select("name")
 
 
-def style_declarations(df: DataFrame, key: str, css: str) -> DataFrame:
-    """One row per declaration of flat rules: key, rule_no, selector, decl_no, property, value. Comments are skipped."""
-    bare = F.regexp_replace(F.col(css), r"(?s)/\*.*?\*/", " ")
-    rules = df.select(key, F.posexplode_outer(F.regexp_extract_all(bare, F.lit(r"([^{}]+)\{([^{}]*)\}"), F.lit(0))).alias("__r", "__t")).where("__t IS NOT NULL")
-    split = rules.select(key, (F.col("__r") + 1).alias("rule_no"), F.trim(F.regexp_extract("__t", r"([^{}]+)\{", 1)).alias("selector"), F.posexplode(F.split(F.regexp_extract("__t", r"\{([^{}]*)\}", 1), ";")).alias("__d", "__x"))
-    split = split.where(F.instr("__x", ":") > 0)
-    return split.select(key, "rule_no", "selector", (F.col("__d") + 1).alias("decl_no"), F.lower(F.trim(F.substring_index("__x", ":", 1))).alias("property"), F.trim(F.regexp_replace("__x", "^[^:]*:", "")).alias("value"))
-
-
-def declaration_decision(prop: Column, value: Column) -> Column:
-    """First rule that applies: drop colours, drop removed properties, keep viewport lengths, convert absolute lengths, else keep."""
-    v = F.lower(value)
-    return (
-        F.when(prop.isin(*COLOUR_PROPERTIES), "drop colour")
-        .when((prop == "font-family") & ~v.contains("monospace"), "drop font")
-        .when(prop.isin(*REMOVED_PROPERTIES), "drop layout")
-        .when(v.rlike(r"\d(?:vw|vh|vmin|vmax)\b"), "keep viewport")
-        .when(v.rlike(r"\d(?:px|pt|pc|in|cm|mm)\b"), "convert length")
-        .otherwise("keep")
-    )
-
-
-def without_presentation(tag: Column, attrs: Column) -> Column:
-    """The attribute text without presentational attributes of this element."""
-    out = attrs
-    for name, element in PRESENTATION.items():
-        cut = F.regexp_replace(out, rf"(?i)\s*\b{name}\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "")
-        out = cut if element == "*" else F.when(tag == element, cut).otherwise(out)
-    return F.trim(out)
-
-
 def mark_blank_paragraphs(text: Column) -> Column:
     """Empty paragraphs get class="blank"."""
     return F.regexp_replace(text, r"(?i)<p>(?:\s|&nbsp;|&#160;|\u00a0|<br\s*/?>)*</p>", '<p class="blank"></p>')

@@ -597,17 +597,6 @@ def tag_census(spark: SparkSession, d: str) -> DataFrame:
     return M.tag_census(M.start_tags(table(spark, d, "posts").select("post_id", "content").unionByName(made), "post_id", "content"))
 
 
-_CSS_SQL = """'p { color: red; font-size: ' || p_size || 'px; margin: 1vw } /* x */ h1 { position: absolute; font-family: monospace; text-indent: 1em }'"""
-
-
-@query("""
-SELECT x.decision, CAST(count(*) AS BIGINT) AS n FROM part, (VALUES ('drop colour'), ('convert length'), ('keep viewport'), ('drop layout'), ('keep'), ('keep')) x(decision) GROUP BY 1""")
-def declaration_decisions(spark: SparkSession, d: str) -> DataFrame:
-    css = F.concat(F.lit("p { color: red; font-size: "), F.col("p_size"), F.lit("px; margin: 1vw } /* x */ h1 { position: absolute; font-family: monospace; text-indent: 1em }"))
-    decl = M.style_declarations(table(spark, d, "part").select("p_partkey", css.alias("css")), "p_partkey", "css")
-    return decl.groupBy(M.declaration_decision(F.col("property"), F.col("value")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT doc_id, substr(sha256('v1:' || CAST(doc_id % 8 AS VARCHAR)), 1, 12) AS signature, doc_id % 8 = 3 AS skipped FROM documents WHERE text IS NOT NULL""")
 def signature_skip(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text IS NOT NULL")

@@ -115,7 +115,6 @@ def test_markup(spark):
     tags = M.start_tags(df, "k", "t")
     assert sorted((r.tag, r.classes, r.element_id, r.n) for r in M.tag_census(tags).collect()) == [("font", "", "", 1), ("p", "", "", 1), ("p", "a b", "x", 1)]
     assert one(spark, M.mark_blank_paragraphs, "<p>&nbsp;<br/></p><p>x</p>") == '<p class="blank"></p><p>x</p>'
-    assert one(spark, lambda c: M.without_presentation(F.lit("font"), c), 'color="red" class="k" size=2') == 'class="k"'
     assert {r.k: r.well_formed for r in M.well_formed(spark.createDataFrame([(1, "<a>x</a>"), (2, "<a>"), (3, None)], "k int, t string"), "k", "t").collect()} == {1: True, 2: False, 3: False}
     pools = M.size_pools(spark.createDataFrame([("b", 1, 10.0, 2), ("b", 2, 10.009, 3), ("b", 3, 10.018, 4)], "book string, pos int, size double, weight int"), "book", "pos", "size", "weight")
     assert sorted((r.size, r.weight) for r in pools.collect()) == [(10.0, 5), (10.018, 4)]
