@@ -96,19 +96,24 @@ def repoint_links(chapters: DataFrame, mapping: DataFrame, book: str, chapter: s
 def size_pools(df: DataFrame, book: str, pos: str, size: str, weight: str, tolerance: float = 0.01) -> DataFrame:
     """Sizes of a book pooled with the first earlier size within the tolerance, in order of appearance: book, size, weight.
 
-    The relation is not transitive and depends on the order, so each book's few sizes are walked in order.
+    The relation is not transitive and depends on the order, so each book's distinct sizes are walked in order, once: pools are held in bins as
+    wide as the tolerance, and only the three bins around a size can hold its pool.
     """
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes: list[float] = []
         weights: list[int] = []
-        for s, w in zip(pdf.sort_values([pos, size])[size], pdf.sort_values([pos, size])[weight]):
-            at = next((i for i, x in enumerate(sizes) if abs(x - s) <= tolerance), None)
-            if at is None:
+        bins: dict[int, list[int]] = {}
+        ordered = pdf.sort_values([pos, size])
+        for s, w in zip(ordered[size], ordered[weight]):
+            k = int(s // tolerance) if tolerance > 0 else hash(s)
+            near = [i for b in (k - 1, k, k + 1) for i in bins.get(b, ()) if abs(sizes[i] - s) <= tolerance]
+            if near:
+                weights[min(near)] += int(w)
+            else:
+                bins.setdefault(k, []).append(len(sizes))
                 sizes.append(float(s))
                 weights.append(int(w))
-            else:
-                weights[at] += int(w)
         return pd.DataFrame({book: pdf[book].iloc[0], size: sizes, weight: weights})
 
     kind = dict(df.dtypes)[book]

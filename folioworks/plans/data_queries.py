@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.operators.nested_records import child_table, child_tables
-from folioworks.operators.packed_fields import explode_packed_values
+from folioworks.operators.packed_fields import explode_packed_values, with_packed_values
 from folioworks.operators.timestamps import choose_readings, with_readings, zone_abbreviations
 from folioworks.session import table
 
@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATED = {"stories": ("listing_id", "date_approve"), "posts": ("post_id", "published_at"), "story_meta": ("meta_id", "datepublished"), "library_books": ("book_key", "created")}
 
 
-def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = None
     for t, (key, field) in DATED.items():
         part = table(spark, sf_dir, t).select(F.lit(t).alias("src_table"), F.col(key).alias("row_key"), F.col(field).alias("value"), "site")
@@ -50,7 +50,11 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Zone names are bounded by the time zone database.
     zones = sorted(r.zone_name for r in sites.select("zone_name").where("zone_name IS NOT NULL").distinct().collect())
     joined = rows.join(sites, "site", "left").withColumn("sited", F.col("date_order").isNotNull())
-    read = with_readings(joined, "value", "zone_name", "date_order", zone_abbreviations(zones))
+    return with_readings(joined, "value", "zone_name", "date_order", zone_abbreviations(zones))
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _readings(spark, sf_dir)
     # A numeric date of a row without a declared order has two orders, even where only one of them is a date.
     unsure = ~F.col("sited") & F.exists("readings", lambda r: r.style.isin("MDY", "DMY"))
     read = read.withColumn("unordered", unsure)
@@ -69,8 +73,31 @@ def p4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chosen(spark, sf_dir).select("src_table", "row_key", "utc_micros", "n_instants", "style")
 
 
+#: Fields that only plain separators cut: nothing in them is quoted, escaped, a list, a reference, a hash sign or a separator between blanks.
+PLAIN_FIELD = r"^[^\"'\\&#/·•\[\]{}\x{E000}-\x{E002}]*$"
+
+
+def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of every plain field of the three tables, joined, and their number; all other fields are read too and left out of the result."""
+    out = None
+    for t, (key, field) in PACKED.items():
+        rows = with_packed_values(table(spark, sf_dir, t).select(F.col(key).alias("row_key"), F.col(field).alias("field")), "field", "items")
+        part = rows.where(F.col("field").rlike(PLAIN_FIELD)).select(F.lit(t).alias("src_table"), "row_key", F.array_join("items", "|").alias("items"), F.size("items").cast("long").alias("n_items"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$"
+
+
+def p4_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of every value of the four tables that is an ISO time with an offset; all other values are read too and left out of the result."""
+    read = _readings(spark, sf_dir).where(F.col("value").rlike(ISO_INSTANT))
+    return read.select("src_table", "row_key", F.size("readings").cast("long").alias("n_readings"), F.try_element_at("readings", F.lit(1))["micros"].alias("utc_micros"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_activity_tags, p3_found, p4_found, p4_resolved)}
+    return {f.__name__: f for f in (p2_found, p2_activity_tags, p3_found, p3_plain, p4_found, p4_iso, p4_resolved)}
 
 
 # The same tables in DuckDB's JSON functions: unwrap, list, then one SELECT a child table.
@@ -110,6 +137,22 @@ def _nested_sql() -> tuple[str, str]:
     return " UNION ALL ".join(whole), f"SELECT DISTINCT * FROM ({_DOCS.format(table='wall_pages', list='data')} {tag})"
 
 
+def _plain_sql() -> str:
+    """Split at any of the plain separators, trim white space of any kind, drop what is empty."""
+    blank = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    items = f"list_filter(list_transform(string_split_regex(f, '[,;|\\t\\r\\n，、；｜]'), lambda x: regexp_replace(x, '^{blank}+|{blank}+$', '', 'g')), lambda x: x <> '')"
+    parts = [f"SELECT '{t}' AS src_table, {key} AS row_key, {field} AS f FROM {t}" for t, (key, field) in PACKED.items()]
+    special = "[\"''\\\\&#/·•\\[\\]{}\\x{E000}-\\x{E002}]"
+    return f"WITH t AS ({' UNION ALL '.join(parts)}), i AS (SELECT src_table, row_key, {items} AS i FROM t WHERE f IS NOT NULL AND NOT regexp_matches(f, '{special}')) SELECT src_table, row_key, coalesce(array_to_string(i, '|'), '') AS items, CAST(len(i) AS BIGINT) AS n_items FROM i"
+
+
+def _iso_sql() -> str:
+    parts = [f"SELECT '{t}' AS src_table, {key} AS row_key, {field} AS v FROM {t}" for t, (key, field) in DATED.items()]
+    at = "epoch_us(TRY_CAST(v AS TIMESTAMPTZ))"
+    ok = f"{at} >= 631152000000000 AND {at} < 2082758400000000"
+    return f"WITH t AS ({' UNION ALL '.join(parts)}) SELECT src_table, row_key, CAST(CASE WHEN coalesce({ok}, false) THEN 1 ELSE 0 END AS BIGINT) AS n_readings, CASE WHEN {ok} THEN {at} END AS utc_micros FROM t WHERE regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]{{1,6}})?(Z|[+-][0-9]{{2}}:[0-9]{{2}})')"
+
+
 def oracle_sql() -> dict[str, str]:
     found, tags = _nested_sql()
-    return {"p2_found": found, "p2_activity_tags": tags}
+    return {"p2_found": found, "p2_activity_tags": tags, "p3_plain": _plain_sql(), "p4_iso": _iso_sql()}

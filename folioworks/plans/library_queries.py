@@ -626,7 +626,14 @@ def unreferenced_names(spark: SparkSession, d: str) -> DataFrame:
     return M.unreferenced(n, p, "site", "name", "post_id", "content")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE f AS (SELECT p_brand, p_retailprice / 100 AS s, min(p_partkey) AS pos, count(*) AS w FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY pos, s) AS rn FROM f),
+t AS (SELECT p_brand, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS ss, CAST([] AS BIGINT[]) AS ws FROM (SELECT DISTINCT p_brand FROM o)
+      UNION ALL SELECT p_brand, rn, CASE WHEN q > 0 THEN ss ELSE list_append(ss, s) END, CASE WHEN q > 0 THEN list_concat(list_append(ws[1:q - 1], ws[q] + w), ws[q + 1:]) ELSE list_append(ws, w) END
+      FROM (SELECT o.*, ss, ws, coalesce(list_position(list_transform(ss, lambda x: abs(x - o.s) <= 0.05), true), 0) AS q FROM t JOIN o ON o.p_brand = t.p_brand AND o.rn = t.rn + 1)),
+z AS (SELECT p_brand, ss, ws FROM t QUALIFY rn = max(rn) OVER (PARTITION BY p_brand))
+SELECT p_brand, unnest(ss) AS size, CAST(unnest(ws) AS BIGINT) AS weight FROM z""")
 def font_size_pools(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("pos"), (F.col("p_retailprice") / 100).alias("size"), F.lit(1).alias("weight"))
     return M.size_pools(p, "p_brand", "pos", "size", "weight", 0.05)
