@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.functions import scalars as S
+from folioworks.session import spread
 
 # Elements and names that tell a selector's context.
 VECTOR_TAGS = ["svg", "math", "image"]
@@ -75,6 +76,7 @@ LEVELS = {"light": GROUPS[:2], "standard": GROUPS[:9], "strict": GROUPS}
 # ---- the parser ----
 
 _CHUNK = re.compile(r"url\(\s*[^\"'()\s][^()\"']*\)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|/\*.*?(?:\*/|$)|[{};()\[\]:,]|\\.|(?:(?!url\()[^\"'/{};()\[\]:,\\])+|/|u", re.S | re.I)
+_COMBINATOR = re.compile(r"\s*[>+~]\s*|\s+")
 _SIMPLE = re.compile(r"(?P<ns>(?:[\w*-]+)?\|)?(?P<tag>[A-Za-z_][\w-]*|\*)|\.(?P<cls>-?[A-Za-z_\u0080-\U0010ffff][\w\u0080-\U0010ffff-]*)|#(?P<id>[\w\u0080-\U0010ffff-]+)|(?P<colons>::?)(?P<pseudo>[\w-]+)(?P<args>\([^()]*(?:\([^()]*\)[^()]*)*\))?|(?P<attr>\[[^\]]*\])")
 
 
@@ -128,7 +130,7 @@ def _selector(text: str) -> dict | None:
     if not text:
         return None
     while at < len(text):
-        if (m := re.compile(r"\s*[>+~]\s*|\s+").match(text, at)) and m.end() > at:
+        if (m := _COMBINATOR.match(text, at)) and m.end() > at:
             at, fresh = m.end(), True
             continue
         m = _SIMPLE.match(text, at)
@@ -183,13 +185,29 @@ _COMPOUND = "struct<tag:string,namespace:string,classes:array<string>,ids:array<
 def style_rules(df: DataFrame, key: str, css: str) -> DataFrame:
     """One row per rule: key, rule_no, condition, at_rule, prelude, selectors (text, compounds), declarations (property, value, important)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [{key: k, "rule_no": i, **r} for k, text in zip(pdf[key], pdf[css]) if text for i, r in enumerate(parse_sheet(text), 1)]
-            yield pd.DataFrame(rows, columns=[key, "rule_no", "condition", "at_rule", "prelude", "selectors", "declarations"])
-
     schema = f"{key} {dict(df.dtypes)[key]}, rule_no int, condition string, at_rule string, prelude string, selectors array<struct<text:string,compounds:array<{_COMPOUND}>>>, declarations array<struct<property:string,value:string,important:boolean>>"
-    return df.select(key, css).mapInPandas(run, schema)
+    names = pa.list_(pa.string())
+    compound = pa.struct([("tag", pa.string()), ("namespace", pa.string()), ("classes", names), ("ids", names), ("pseudo_classes", names), ("pseudo_elements", names)])
+    kinds = {"condition": pa.string(), "at_rule": pa.string(), "prelude": pa.string(), "selectors": pa.list_(pa.struct([("text", pa.string()), ("compounds", pa.list_(compound))])), "declarations": pa.list_(pa.struct([("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[dict]] = {}
+        for batch in batches:
+            owner, number, rows = [], [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                if text not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[text] = list(parse_sheet(text))
+                owner += [at] * len(known[text])
+                number += range(1, len(known[text]) + 1)
+                rows += known[text]
+            cols = [pa.array([r[n] for r in rows], t) for n, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), *cols], names=[key, "rule_no", *kinds])
+
+    return spread(df.select(key, css)).mapInArrow(run, schema)
 
 
 # ---- selectors ----
@@ -336,27 +354,32 @@ def declaration_decisions(rows: DataFrame, groups: list[str], base_px: float = 1
     on = {g: F.lit(g in groups) for g in GROUPS}
     c, value = F.col, F.col("value")
     name, no = F.lower("property"), F.lit(False)
-    kept = without_colours(value, c("root") & (name == "background"))
-    fewer = F.size(kept) < F.size(tokens(value))
-    gradient, image = F.exists(tokens(F.lower(value)), lambda t: t.rlike(r"gradient\(")), F.exists(tokens(F.lower(value)), lambda t: t.startswith("url("))
-    word = F.lower(F.get(tokens(value), F.lit(0)))
-    absolute, shorthand = has_absolute_length(value), on["colours"] & name.isin(*COLOUR_SHORTHANDS)
+    # What many steps ask of a value is worked out once a row, and once for equal declarations in equal contexts.
+    keys = ["property", "value", "vector", "drop_cap", "root", "heading", "image"]
+    own = rows.select(*keys).distinct().withColumns({"__t": tokens(value), "__l": F.lower(value)})
+    lowered = F.transform("__t", lambda t: F.lower(t))
+    background = c("root") & (name == "background")
+    own = own.withColumns({"__kept": F.when(on["colours"] & name.isin(*COLOUR_SHORTHANDS), without_colours(value, background)), "__abs": F.exists(lowered, lambda t: t.rlike(_LENGTH)), "__long": F.when(on["fonts"] & (name == "font"), font_longhands(value)), "__mono": F.when(name == "font-family", is_monospace(value))})
+    kept, absolute = c("__kept"), c("__abs")
+    gradient, image = F.exists(lowered, lambda t: t.rlike(r"gradient\(")), F.exists(lowered, lambda t: t.startswith("url("))
+    word = F.lower(F.get("__t", F.lit(0)))
+    shorthand = on["colours"] & name.isin(*COLOUR_SHORTHANDS)
     same = F.coalesce(same_size(font_size(value), base), no) if base is not None else no
-    colour = F.when(on["colours"] & name.isin(*COLOUR_PROPERTIES), "drop").when(shorthand, F.when(F.size(kept) == 0, "drop").when(fewer, "convert").otherwise("keep"))
+    colour = F.when(on["colours"] & name.isin(*COLOUR_PROPERTIES), "drop").when(shorthand, F.when(F.size(kept) == 0, "drop").when(F.size(kept) < F.size("__t"), "convert").otherwise("keep"))
     sized = on["sizes"] & (name == "font-size")
     decision = (
         F.when(c("vector"), "keep")
         .when(c("drop_cap") & on["plain_drop_caps"], F.when(name.isin(*SEMANTIC), "keep").otherwise("drop"))
         .when(c("drop_cap"), F.coalesce(colour, F.lit("keep")))
-        .when(on["fonts"] & (name == "font"), F.when(font_longhands(value).isNull(), "drop").otherwise("expand"))
+        .when(on["fonts"] & (name == "font"), F.when(c("__long").isNull(), "drop").otherwise("expand"))
         .when(colour.isNotNull(), colour)
         .when(on["colours"] & (name == "background-image"), F.when(gradient | (c("root") & image), "drop").otherwise("keep"))
-        .when(on["fonts"] & (name == "font-family"), F.when(~is_monospace(value), "drop").when((word == "monospace") & (F.size(tokens(value)) == 1), "keep").otherwise("convert"))
+        .when(on["fonts"] & (name == "font-family"), F.when(~c("__mono"), "drop").when((word == "monospace") & (F.size("__t") == 1), "keep").otherwise("convert"))
         .when(sized & (c("root") | (on["heading_sizes_only"] & ~c("heading")) | is_viewport_length(value) | same), "drop")
         .when(sized, F.when(absolute, "convert").otherwise("keep"))
         .when(on["spacing"] & name.isin(*SPACING), "drop")
         .when(on["hyphenation"] & name.isin(*HYPHENATION), "drop")
-        .when(on["alignment"] & name.isin(*ALIGNMENT) & (F.size(tokens(value)) == 1) & word.isin(*BODY_ALIGNMENTS), "drop")
+        .when(on["alignment"] & name.isin(*ALIGNMENT) & (F.size("__t") == 1) & word.isin(*BODY_ALIGNMENTS), "drop")
         .when(on["layout"] & c("root") & name.isin(*ROOT_LAYOUT), "drop")
         .when(on["dimensions"] & ~c("image") & name.isin(*FIXED_SIZES) & absolute, "drop")
         .when(on["margins"] & ~c("image") & ~c("root") & name.isin(*[*BOXES, "text-indent"]) & absolute, "convert")
@@ -364,8 +387,11 @@ def declaration_decisions(rows: DataFrame, groups: list[str], base_px: float = 1
     )
     shown = F.replace(F.array_join(kept, " "), F.lit(" ,"), F.lit(","))
     new = F.when(c("decision") != "convert", value).when(shorthand, shown).when(name == "font-family", "monospace").otherwise(converted(value, base_px))
-    out = rows.withColumn("decision", decision)
-    return out.withColumn("new_value", F.when(c("decision").isin("keep", "convert"), new).when(c("decision") == "expand", F.array_join(F.transform(F.map_entries(font_longhands(value)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")))
+    own = own.withColumn("decision", decision)
+    expanded = F.array_join(F.transform(F.map_entries("__long"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    own = own.select(*[c(k).alias(f"__k_{k}") for k in keys], "decision", F.when(c("decision").isin("keep", "convert"), new).when(c("decision") == "expand", expanded).alias("new_value"))
+    on_all = [rows[k].eqNullSafe(own[f"__k_{k}"]) for k in keys]
+    return rows.join(own, on_all, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def at_rule_decisions(rules: DataFrame, groups: list[str], kept_families: Column) -> DataFrame:

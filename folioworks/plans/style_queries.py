@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioworks.operators import markup as M
 from folioworks.operators import style_sheets as T
 from folioworks.plans.registry import Registry
-from folioworks.session import table
+from folioworks.session import materialize, table
 
 _ALL = Registry()
 query = _ALL.query
@@ -83,7 +83,7 @@ UNION ALL SELECT k, 9, 'text-indent', 'keep', '2in', 2 FROM e WHERE k % 2 = 0 UN
 SELECT k, rule_no, n AS group_no, property, decision, new_value FROM q""")
 def declaration_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of every declaration in every context of its rule, at the standard level, where the body text has 12 px."""
-    rules = T.style_rules(_sheets(spark, d), "k", "css")
+    rules = materialize(T.style_rules(_sheets(spark, d), "k", "css"), "style-rules")
     groups = T.context_groups(T.selector_rows(rules, "k", F.array(F.lit("page"))), "k")
     rows = rules.select("k", "rule_no", F.explode("declarations").alias("x")).select("k", "rule_no", "x.property", "x.value").join(groups, ["k", "rule_no"])
     size = F.struct(F.lit(12.0).alias("value"), F.lit("px").alias("unit"))
