@@ -85,7 +85,7 @@ def declaration_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of every declaration in every context of its rule, at the standard level, where the body text has 12 px."""
     rules = materialize(T.style_rules(_sheets(spark, d), "k", "css"), "style-rules")
     groups = T.context_groups(T.selector_rows(rules, "k", F.array(F.lit("page"))), "k")
-    rows = rules.select("k", "rule_no", F.explode("declarations").alias("x")).select("k", "rule_no", "x.property", "x.value").join(groups, ["k", "rule_no"])
+    rows = rules.select("k", "rule_no", F.explode("declarations").alias("x")).select("k", "rule_no", "x.property", "x.value").join(groups.hint("merge"), ["k", "rule_no"])  # both sides grow; the written rules compress so well that their file size tells nothing
     size = F.struct(F.lit(12.0).alias("value"), F.lit("px").alias("unit"))
     return T.declaration_decisions(rows, T.LEVELS["standard"], 16.0, size).select("k", "rule_no", "group_no", "property", "decision", "new_value")
 

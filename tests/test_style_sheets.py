@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioworks.operators import style_sheets as T
+from folioworks.plans import style_queries as Q
 
 
 @pytest.mark.parametrize(
@@ -42,3 +43,8 @@ def test_odd_sheets(spark):
 def test_levels(spark, level, want):
     df = spark.createDataFrame([(p, v, False, False, False, False, False) for p, v in (("color", "red"), ("line-height", "2"), ("font-size", "20px"))], "property string, value string, vector boolean, drop_cap boolean, root boolean, heading boolean, image boolean")
     assert {r.property: r.decision for r in T.declaration_decisions(df, T.LEVELS[level]).collect()} == want
+
+
+def test_groups_are_not_broadcast(spark, sf):
+    plan = Q.declaration_decisions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
