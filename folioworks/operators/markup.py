@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TAG = r"<([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)>"
@@ -63,21 +63,27 @@ def stamp(text: Column, signature: Column) -> Column:
 def unreferenced(names: DataFrame, corpus: DataFrame, group: str, name: str, key: str, text: str) -> DataFrame:
     """Names no text of their group holds, without regard to case; every name is looked for whole, and within longer words too.
 
-    Four characters of each name, its rarest ones among the names, are its anchor; the texts' distinct windows of four characters
-    meet the anchors by equality, and only then is the whole name looked for. So no name is held against every text. Names that are shorter
-    are met with every text of their group; a blank name is held by any text.
+    Eight characters of each name, of its pieces of eight the one that is rarest among the names, are its anchor; the texts' distinct windows of
+    eight characters meet the anchors by equality of a hash, and only then is the whole name looked for. So no name is held against every text.
+    Names under eight characters have an anchor of four, those under four are their own; the texts have windows of the sizes that occur. A blank
+    name is held by any text. Every side grows with the data, so the joins are merged: file sizes tell nothing of the number of windows.
     """
-    n = names.where(F.col(name).isNotNull()).select(F.col(group).alias("__g"), F.lower(name).alias("__n")).distinct()
-    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))
-    long = n.where(F.length("__n") >= 4).select("__g", "__n", F.explode(windows(F.col("__n"))).alias("__w"))
-    common = long.groupBy("__g", "__w").agg(F.count(F.lit(1)).alias("__c"))
-    anchors = long.join(common, ["__g", "__w"]).groupBy("__g", "__n").agg(F.min_by("__w", F.struct("__c", "__w")).alias("__w"))
-    texts = corpus.where(F.col(text).isNotNull()).select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.lower(text).alias("__t"))
-    seen = texts.where(F.length("__t") >= 4).select("__g", "__k", F.explode(windows(F.col("__t"))).alias("__w")).join(anchors, ["__g", "__w"]).select("__g", "__k", "__n")
-    held = seen.join(texts, ["__g", "__k"]).where(F.contains("__t", F.col("__n"))).select("__g", "__n").distinct()
-    short = n.where(F.length("__n") < 4).groupBy("__g").agg(F.collect_set("__n").alias("__names"))  # at most the strings of three characters
-    few = texts.join(short, "__g").select("__g", F.explode_outer(F.filter("__names", lambda x: F.contains(F.col("__t"), x))).alias("__n")).where("__n IS NOT NULL").distinct()
-    return names.join(held.unionByName(few), (names[group] == F.col("__g")) & (F.lower(names[name]) == F.col("__n")), "left_anti")
+    tier = lambda c: F.when(F.length(c) >= 8, 8).when(F.length(c) >= 4, 4).otherwise(F.length(c))
+    windows = lambda c, size: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) if size else F.array(F.lit(""))
+    hashed = lambda w: F.xxhash64("__g", w)
+    n = names.where(F.col(group).isNotNull() & F.col(name).isNotNull()).select(F.col(group).alias("__g"), F.lower(name).alias("__n"))
+    sizes = sorted(r[0] for r in n.select(tier(F.col("__n"))).distinct().collect())  # at most 0 to 4 and 8
+    pieces = lambda size: F.filter(windows(F.col("__n"), size), lambda w, i: (i % max(size, 1) == 0) | (i == F.length("__n") - size))
+    chosen = F.coalesce(*[F.when(tier(F.col("__n")) == s, pieces(s)) for s in sizes], F.array().cast("array<string>"))
+    blocks = n.distinct().select("__g", "__n", F.explode(F.array_distinct(chosen)).alias("__w")).select("__g", "__n", hashed("__w").alias("__h"))
+    counted = blocks.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("__h")))
+    anchors = counted.groupBy("__g", "__n").agg(F.min(F.struct("__c", "__h"))["__h"].alias("__h"))
+    texts = corpus.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.lower(text).alias("__t"))
+    every = F.concat(F.array().cast("array<string>"), *[F.array_distinct(windows(F.col("__t"), s)) for s in sizes])
+    seen = texts.select("__g", "__k", F.explode(every).alias("__w")).select("__k", hashed("__w").alias("__h")).join(anchors.hint("merge"), "__h").select("__g", "__k", "__n")
+    whole = texts.select(F.col("__g").alias("__tg"), F.col("__k").alias("__tk"), "__t").hint("merge")
+    held = seen.join(whole, (F.col("__g") == F.col("__tg")) & F.col("__k").eqNullSafe(F.col("__tk"))).where(F.contains("__t", F.col("__n"))).select("__g", "__n").distinct()
+    return names.join(held, (names[group] == F.col("__g")) & (F.lower(names[name]) == F.col("__n")), "left_anti")
 
 
 def repoint_links(chapters: DataFrame, mapping: DataFrame, book: str, chapter: str, text: str, old: str, new: str) -> DataFrame:

@@ -11,6 +11,7 @@ from folioworks.operators import changes as C
 from folioworks.operators import markup as M
 from folioworks.operators import ordering as O
 from folioworks.operators import relational as R
+from folioworks.plans import library_queries as Q
 from folioworks.sources import readers
 from folioworks.streaming import feeds
 
@@ -192,6 +193,21 @@ def test_whole_names_are_looked_for(spark):
     assert {(r.site, r.name) for r in got} == {("s", "Xy"), ("t", "Mira Toranby"), (None, "Nils"), ("s", None)}
 
 
+def test_names_are_not_broadcast(spark, sf):
+    plan = Q.unreferenced_names(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_names_of_any_length(spark):
+    text = "An <b>Émile\n\U0001f600 Zola-the-second</b> of " + "Inkharbor " * 3
+    inside = [text[i : i + n] for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 30) for i in range(0, len(text) - n + 1, 3)]
+    names = spark.createDataFrame([(g, x) for g in "st" for x in [*inside, *(x[:-1] + "#" for x in inside)]] + [(g, "") for g in "su"], "site string, name string").distinct()
+    posts = spark.createDataFrame([("s", None, text), ("t", 1, "of ink"), ("t", 1, "Émile"), ("t", 2, ""), (None, 3, text)], "site string, post_id long, content string")
+    held = {"s": [text.lower()], "t": ["of ink", "émile", ""], "u": []}
+    want = {(r.site, r.name) for r in names.collect() if not any(r.name.lower() in t for t in held[r.site])}
+    assert {tuple(r) for r in M.unreferenced(names, posts, "site", "name", "post_id", "content").collect()} == want and ("u", "") in want
+
+
 def test_addresses_of_chapters(spark):
     rows = [("a", 1, None, "http://x/a", False), ("b", 1, None, "http://x/b", False), ("b", 2, "", "http://x/b", False), ("c", 1, "http://own", "http://x/c", False), ("c", 2, None, "http://x/c", False), ("d", 1, None, "http://x/d", True), ("d", 2, "http://own", "http://x/d", False), ("e", 1, None, None, False)]
     df = spark.createDataFrame(rows, "book string, pos int, own string, of string, title boolean")
